@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Memo, table
 
-#: Most pre-tokens and token pairs a worker remembers; beyond it the memo starts anew.
-MEMO_WORDS = 400_000
+#: Most pre-tokens and token pairs a worker remembers; see Memo.
+MEMO_WORDS = 500_000
 MEMO_PAIRS = 400_000
 #: Longer pre-tokens (in characters) aren't remembered.
 MEMO_CHARS = 48
@@ -72,7 +72,7 @@ class ByteBpe:
         self.pairs: dict[tuple[int, int], int] = {}
         self.parts: list[tuple[int, int]] = []
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Memo(MEMO_WORDS)
         self._undo()
 
     def _undo(self) -> None:
@@ -160,9 +160,7 @@ class ByteBpe:
             if got is None:
                 got = b"".join(x.to_bytes(4, "little") for x in self.ids(word.encode()))
                 if len(word) <= MEMO_CHARS:
-                    if len(words) >= MEMO_WORDS:
-                        words.clear()
-                    words[word] = got
+                    words.keep(word, got)
             out.append(got)
         return b"".join(out)
 

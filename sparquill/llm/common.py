@@ -47,3 +47,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+class Memo(dict):
+    """What a worker remembers by word. Once full it takes no more, as words seen first are the
+    frequent ones, until it has turned away four times its size, when it starts anew."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.away = most, 0
+
+    def keep(self, key, value) -> None:
+        """Remember if there is room."""
+        if len(self) < self.most:
+            self[key] = value
+        else:
+            self.away += 1
+            if self.away > 4 * self.most:
+                self.clear()
+                self.away = 0

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """opN_<name> -> callable(spark, sf_dir)."""
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op3_token_counts": tokencount.op3_token_counts,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
