@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokencount, toxicity
+from . import bpe, neardup, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op3_token_counts": tokencount.op3_token_counts,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_minhash_forest": neardup.op10_minhash_forest,
     }
 
 
