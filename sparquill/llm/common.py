@@ -23,7 +23,7 @@ def text_of(col: str | Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words of a text: maximal runs of characters that aren't SEPARATORS; null gives none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
 def shared_dir(spark: SparkSession) -> str:

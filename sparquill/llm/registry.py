@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, tokencount, toxicity
+from . import bpe, neardup, quality, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """opN_<name> -> callable(spark, sf_dir)."""
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op2_quality_ratio": quality.op2_quality_ratio,
         "op3_token_counts": tokencount.op3_token_counts,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_minhash_forest": neardup.op10_minhash_forest,
