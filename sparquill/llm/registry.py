@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, neardup, quality, tokencount, toxicity
+from . import bpe, mixing, neardup, pii, quality, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op2_quality_ratio": quality.op2_quality_ratio,
         "op3_token_counts": tokencount.op3_token_counts,
+        "op4_temperature_mix": mixing.op4_temperature_mix,
+        "op7_disclosure": pii.op7_disclosure,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_minhash_forest": neardup.op10_minhash_forest,
     }
@@ -22,4 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {
+        "op4_temperature_mix": mixing.OP4_SQL,
+    }
