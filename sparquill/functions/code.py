@@ -1,0 +1,108 @@
+"""Functions that need a parser for Python text; applied in Arrow batches (see records.code_map)."""
+
+from __future__ import annotations
+
+import ast
+import re
+
+FENCE = re.compile(r"```[ \t]*(\w*)[^\n]*\n(.*?)(?:```|\Z)", re.S)
+
+
+def parses(text: str) -> bool:
+    """Whether a text is Python."""
+    try:
+        ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return True
+
+
+def _unwrap(code: str) -> str:
+    try:
+        tree = ast.parse(code)
+    except (SyntaxError, ValueError):
+        return code
+    if len(tree.body) == 1 and isinstance(tree.body[0], ast.FunctionDef) and tree.body[0].name == "solution" and not tree.body[0].args.args:
+        lines = code.splitlines()[tree.body[0].body[0].lineno - 1 : tree.body[0].end_lineno]
+        pad = min((len(x) - len(x.lstrip()) for x in lines if x.strip()), default=0)
+        return "\n".join(x[pad:] for x in lines)
+    return code
+
+
+def extract_code(response: str) -> str:
+    """Code of a completion: thinking removed; of fenced blocks the longest that parses, tagged ones
+    first, else the longest; without fences the longest run of lines that parses; unwrapped."""
+    text = re.sub(r"<think>.*?</think>", "", response, flags=re.S).rpartition("</think>")[2]
+    blocks = FENCE.findall(text)
+    if blocks:
+        tagged = [b for tag, b in blocks if tag.lower() in ("python", "py", "python3")] or [b for _, b in blocks]
+        good = [b for b in tagged if parses(b)] or tagged
+        return _unwrap(max(good, key=len).strip("\n"))
+    lines = text.strip("\n").splitlines()
+    whole = "\n".join(lines)
+    if parses(whole):
+        return _unwrap(whole)
+    for cut in range(1, len(lines)):
+        tail = "\n".join(lines[cut:])
+        if tail.strip() and parses(tail) and any(isinstance(n, ast.Call | ast.Import | ast.ImportFrom | ast.Assign) for n in ast.walk(ast.parse(tail))):
+            return _unwrap(tail)
+    return ""
+
+
+def names(code: str) -> list[str]:
+    """Sorted names and attributes that code refers to."""
+    try:
+        tree = ast.parse(code)
+    except (SyntaxError, ValueError):
+        return []
+    return sorted({n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} | {n.attr for n in ast.walk(tree) if isinstance(n, ast.Attribute)})
+
+
+def first_call(code: str, leaf: str) -> str:
+    """Source of the first call to a name, or empty."""
+    try:
+        tree = ast.parse(code)
+    except (SyntaxError, ValueError):
+        return ""
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Call) and (getattr(n.func, "attr", None) or getattr(n.func, "id", None)) == leaf:
+            return ast.unparse(n)
+    return ""
+
+
+class _Unseed(ast.NodeTransformer):
+    def visit_Call(self, node):
+        self.generic_visit(node)
+        name = getattr(node.func, "attr", None) or getattr(node.func, "id", "")
+        if name in ("seed", "manual_seed", "default_rng", "RandomState", "set_seed"):
+            node.args = [ast.Constant(None) if isinstance(a, ast.Constant) else a for a in node.args]
+        node.keywords = [ast.keyword(k.arg, ast.Constant(None)) if k.arg in ("seed", "random_state") and isinstance(k.value, ast.Constant) else k for k in node.keywords]
+        return node
+
+
+def unseed(code: str) -> str:
+    """Code with constant seeds replaced by None; unparsable code as it is."""
+    return ast.unparse(_Unseed().visit(ast.parse(code))) if parses(code) else code
+
+
+def strip_docstrings(code: str) -> str:
+    """Code without docstrings; unparsable code as it is."""
+    if not parses(code):
+        return code
+    tree = ast.parse(code)
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Module | ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef) and ast.get_docstring(n, clean=False) is not None:
+            n.body = n.body[1:] or [ast.Pass()]
+    return ast.unparse(tree)
+
+
+def parameters(signature: str) -> list[str]:
+    """Parameters of a signature text as name=default, or name."""
+    try:
+        args = ast.parse(f"def f{signature}: pass").body[0].args
+    except (SyntaxError, ValueError):
+        return []
+    plain = [*args.posonlyargs, *args.args]
+    gaps = [None] * (len(plain) - len(args.defaults)) + list(args.defaults)
+    both = list(zip(plain, gaps)) + list(zip(args.kwonlyargs, args.kw_defaults))
+    return [a.arg if d is None else f"{a.arg}={ast.unparse(d)}" for a, d in both]

@@ -25,11 +25,17 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from . import pool_queries, set_queries, text_queries, verdict_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
     """All registered queries."""
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """All registered oracles."""
+    _load()
     return dict(_ORACLES)
