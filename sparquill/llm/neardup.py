@@ -9,12 +9,14 @@ still larger, whose members agree in that many values, is cut into parts that al
 smallest member. Within a region, pairs whose sizes allow the similarity and whose signatures
 come near it are candidates. Each class's most similar candidates are confirmed first on the
 full sets, then every candidate that would still join two components, so dense groups don't cost
-their square. Components come from star contraction on tables; nothing of the corpus goes to the
+their square. Regions too large at the first depth are gone through once more at that depth: what
+lies outside a region's largest component is compared in blocks with all of the region, so
+splitting loses no link. Components come from star contraction on tables; nothing of the corpus goes to the
 driver.
 
 A pair of similarity s meets in a region of depth d with probability 1 - (1 - s^d)^TREES: above
-0.9999999998 for s = 0.85 at the first depth. Deeper regions, used only where more than LEAF
-different classes share a prefix, lower that (0.9994 at the third).
+0.9999999998 for s = 0.85 at the first depth, 3. Regions whose components are joined by deeper
+splits need no second look, as their other links change no component.
 
 Cases: null and empty texts have no shingles and are linked with nothing, not even with each
 other; a text of fewer words than a shingle is one shingle; rows with equal doc_id count as one
@@ -165,9 +167,10 @@ def _deeper(rows: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
     return rows.select("tree", "rep").join(classes.select("rep", "sig"), "rep").select("tree", "rep", "sig").mapInArrow(run, "tree short, key long, rep long")
 
 
-def _leaves(classes: DataFrame) -> DataFrame:
-    """(tree, key, part, rep): the members of regions of two classes and more, none much over LEAF."""
-    rows, leaves = _first_regions(classes), []
+def _leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(tree, key, part, rep): the members of regions of two classes and more, none much over LEAF;
+    and (tree, key, rep) of the regions that were larger at the first depth, if there are any."""
+    rows, leaves, dense = _first_regions(classes), [], None
     for level, depth in enumerate(DEPTHS):
         sizes = rows.groupBy("tree", "key").agg(F.count("*").alias("m"), F.min("rep").alias("least")).filter("m > 1")
         rows = checkpoint(rows.join(sizes, ["tree", "key"]))
@@ -175,6 +178,7 @@ def _leaves(classes: DataFrame) -> DataFrame:
         rows = rows.filter(F.col("m") > LEAF)
         if rows.isEmpty():
             break
+        dense = rows.select("tree", "key", "rep") if dense is None else dense
         if level + 1 < len(DEPTHS):
             rows = checkpoint(_deeper(rows, classes, DEPTHS[level + 1]))
         else:
@@ -184,7 +188,7 @@ def _leaves(classes: DataFrame) -> DataFrame:
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
-    return out
+    return out, dense
 
 
 def _pairs_of(rows, least: int, percent: int):
@@ -198,10 +202,14 @@ def _pairs_of(rows, least: int, percent: int):
         yield reps[i + at], reps[j], same[i, j]
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, same): pairs of classes that may be as similar as asked; a < b."""
-    least = int(VALUES * max(0.0, percent / 100 - NEAR))
-    members = _leaves(classes).join(classes.select("rep", "n", "sig"), "rep")
+def _least(percent: int) -> int:
+    return int(VALUES * max(0.0, percent / 100 - NEAR))
+
+
+def candidates(classes: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
+    """(a, b, same): pairs of classes of a leaf that may be as similar as asked; a < b."""
+    least = _least(percent)
+    members = leaves.join(classes.select("rep", "n", "sig"), "rep")
 
     def run(batches):
         held = None
@@ -239,6 +247,52 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long, same int").groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
+def dense_candidates(classes: DataFrame, dense: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b, same): the candidates of dense regions that no leaf may have held. Of each region of
+    the first depth that holds several components, all members outside its largest component are
+    compared, in blocks, with every member of another component: what pairs this leaves out
+    are joined already."""
+    rows = dense.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("tree", "key", "rep", F.coalesce("component", "rep").alias("c"))
+    rows = checkpoint(rows)
+    parts = rows.groupBy("tree", "key", "c").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("tree", "key").agg(F.count("*").alias("k"), F.max_by("c", F.struct("n", "c")).alias("main")).filter("k > 1").drop("k")
+    members = rows.join(largest, ["tree", "key"]).join(classes.select("rep", F.col("n").alias("size"), "sig"), "rep")
+    members = checkpoint(members.select("tree", "key", "rep", "size", "c", "sig", (F.col("c") != F.col("main")).alias("probe")))
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            trees, keys = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
+            numbers = [batch.column(k).to_numpy() for k in (2, 3, 4)]
+            sigs = _matrix(batch.column(5))
+            edges = [0, *(np.flatnonzero((trees[1:] != trees[:-1]) | (keys[1:] != keys[:-1])) + 1).tolist(), len(trees)]
+            cuts = [(p, min(p + LEAF, q)) for a, q in zip(edges, edges[1:]) for p in range(a, q, LEAF)]
+            blocks = [[x[p:q].tobytes() for p, q in cuts] for x in (*numbers, sigs)]
+            yield pa.RecordBatch.from_arrays([pa.array([trees[p] for p, _ in cuts], pa.int64()), pa.array([keys[p] for p, _ in cuts], pa.int64()), *[pa.array(b, pa.binary()) for b in blocks]], names=["tree", "key", "reps", "sizes", "cs", "sigs"])
+
+    packed = lambda df: df.sortWithinPartitions("tree", "key").select("tree", "key", "rep", "size", "c", "sig").mapInArrow(pack, "tree long, key long, reps binary, sizes binary, cs binary, sigs binary")
+    left = packed(members.filter("probe")).select("tree", "key", *[F.col(c).alias(f"p_{c}") for c in ("reps", "sizes", "cs", "sigs")])
+    least = _least(percent)
+
+    def compare(batches):
+        for batch in batches:
+            for row in zip(*batch.columns):
+                r, n, c, pr, pn, pc = (np.frombuffer(row[k].as_buffer(), np.int64) for k in (2, 3, 4, 6, 7, 8))
+                s, ps = (np.frombuffer(row[k].as_buffer(), np.uint32).reshape(-1, VALUES) for k in (5, 9))
+                for at in range(0, len(pr), 64):
+                    b = slice(at, at + 64)
+                    same = (ps[b, None, :] == s[None, :, :]).sum(axis=2)
+                    small, large = np.minimum(pn[b, None], n[None, :]), np.maximum(pn[b, None], n[None, :])
+                    i, j = np.nonzero((same >= least) & (100 * small >= percent * large) & (pc[b, None] != c[None, :]))
+                    if len(i):
+                        x, y = pr[i + at], r[j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(same[i, j].astype(np.int32))], names=["a", "b", "same"])
+
+    met = packed(members).join(left, ["tree", "key"]).select("tree", "key", "reps", "sizes", "cs", "sigs", "p_reps", "p_sizes", "p_cs", "p_sigs")
+    return met.mapInArrow(compare, "a long, b long, same int").groupBy("a", "b").agg(F.max("same").alias("same"))
+
+
 def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     """(rep, set): the full shingle sets of some documents, as sorted little-endian uint64."""
 
@@ -279,7 +333,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         now = edges.agg(print_of.alias("p")).first()["p"]
         if now == before:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            ends = edges.unionByName(edges.select(F.col("v").alias("u"), "v"))
+            return checkpoint(ends.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")))
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -289,25 +344,41 @@ def components(links: DataFrame) -> DataFrame:
         edges = checkpoint(small.filter("u <> v").distinct())
 
 
+def _linked(docs: DataFrame, pairs: DataFrame, known: DataFrame | None, percent: int, width: int) -> DataFrame:
+    """(node, component) after confirming candidates until none is left between two components:
+    first each class's FIRST most similar ones, then ever more of those that still matter."""
+    ends = lambda df: df.select("a", "b", "same", F.explode(F.array("a", "b")).alias("end"))
+    sets = checkpoint(_sets(docs, ends(pairs).select(F.col("end").alias("rep")).distinct(), width))
+    rest, most = pairs, FIRST
+    while True:
+        if known is not None:
+            rest = rest.join(known.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            rest = checkpoint(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "same"))
+        if rest.isEmpty():
+            return known if known is not None else components(rest)
+        best = Window.partitionBy("end").orderBy(F.desc("same"), "a", "b")
+        first = checkpoint(ends(rest).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most).select("a", "b").distinct())
+        links = checkpoint(_confirmed(first, sets, percent))
+        if known is None:
+            known = components(links)
+        elif not links.isEmpty():
+            known = components(links.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        rest, most = rest.join(first, ["a", "b"], "left_anti"), most * 64
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document (see the module)."""
     docs = docs.select("doc_id", "text")
     all_signed = checkpoint(signed(docs, width))
     full = all_signed.filter("n > 0")
     classes = checkpoint(full.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies")))
-    pairs = checkpoint(candidates(classes.dropDuplicates(["rep"]), percent))
-    ends = pairs.select("a", "b", "same", F.explode(F.array("a", "b")).alias("end"))
-    sets = checkpoint(_sets(docs, ends.select(F.col("end").alias("rep")).distinct(), width))
-    best = Window.partitionBy("end").orderBy(F.desc("same"), "a", "b")
-    first = ends.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= FIRST).select("a", "b").distinct()
-    links = checkpoint(_confirmed(first, sets, percent))
-    known = components(links)
-    # every other candidate that would join two components, or a class in none
-    rest = pairs.join(known.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = checkpoint(_confirmed(rest, sets, percent))
-    if not more.isEmpty():
-        known = components(links.unionByName(more))
+    single = classes.dropDuplicates(["rep"])
+    leaves, dense = _leaves(single)
+    known = _linked(docs, checkpoint(candidates(single, leaves, percent)), None, percent, width)
+    if dense is not None:
+        more = checkpoint(dense_candidates(single, dense, known, percent))
+        if not more.isEmpty():
+            known = _linked(docs, more, known, percent, width)
     named = classes.join(known, classes["rep"] == known["node"], "left").filter("component is not null or copies > 1")
     named = named.select("digest", F.coalesce("component", "rep").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     rows = all_signed.select("doc_id", "n", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt"))

@@ -190,8 +190,13 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
 
         fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name, want in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                rows, seen, held = [], 0, 0
+            for name, want, sha in zip(*(batch.column(n).to_pylist() for n in (0, 2, 3))):
+                rows, seen, held, check = [], 0, 0, hashlib.sha256()
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as raw:
+                    while part := raw.read(1 << 20):
+                        check.update(part)
+                if check.hexdigest() != sha:
+                    raise ValueError(f"{name} isn't the file that its manifest names")
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as raw, gzip.open(raw) as f:
                     while line := f.readline():
                         head = [line]
@@ -219,7 +224,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                 if seen != want:
                     raise ValueError(f"{name} holds {seen} records, not {want}")
 
-    return spread.select("file", "bytes", "records").mapInArrow(run, RECORD)
+    return spread.select("file", "bytes", "records", "sha256").mapInArrow(run, RECORD)
 
 
 def _batch(rows):
