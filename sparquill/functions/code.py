@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+import textwrap
 
 FENCE = re.compile(r"```[ \t]*(\w*)[^\n]*\n(.*?)(?:```|\Z)", re.S)
 
@@ -18,14 +19,12 @@ def parses(text: str) -> bool:
 
 
 def _unwrap(code: str) -> str:
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
+    """Body of a lone function ``solution`` without parameters; other code as it is."""
+    if not parses(code):
         return code
-    if len(tree.body) == 1 and isinstance(tree.body[0], ast.FunctionDef) and tree.body[0].name == "solution" and not tree.body[0].args.args:
-        lines = code.splitlines()[tree.body[0].body[0].lineno - 1 : tree.body[0].end_lineno]
-        pad = min((len(x) - len(x.lstrip()) for x in lines if x.strip()), default=0)
-        return "\n".join(x[pad:] for x in lines)
+    match ast.parse(code).body:
+        case [ast.FunctionDef(name="solution", args=args) as only] if not args.args:
+            return textwrap.dedent("\n".join(code.splitlines()[only.body[0].lineno - 1 : only.end_lineno]))
     return code
 
 

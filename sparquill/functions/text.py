@@ -59,7 +59,7 @@ def is_prerelease(version: Column) -> Column:
 
 def exception_type(stderr: Column) -> Column:
     """Last line-initial exception name; dotted or lower-case names don't count."""
-    found = F.regexp_extract_all(stderr, F.lit(r"(?m)^([A-Z][A-Za-z0-9_]*(?:Error|Exception|Warning|Interrupt))\b"), F.lit(1))
+    found = F.regexp_extract_all(stderr, F.lit(r"(?m)^([A-Z]\w*(?:Interrupt|Warning|Exception|Error))\b"), F.lit(1))
     return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
 
 
@@ -81,7 +81,7 @@ def strip_thinking(text: Column) -> Column:
 
 def first_fence(text: Column) -> Column:
     """Code of the first fenced block, else the whole text, stripped."""
-    fence = r"(?s)```(?:python)?\n?(.*?)```"
+    fence = r"(?s)`{3}(?:python)?\n?(.*?)`{3}"
     return strip(F.when(F.regexp_like(text, F.lit(fence)), F.regexp_extract(text, fence, 1)).otherwise(text))
 
 
@@ -151,7 +151,7 @@ def stable_hash(*parts: Column) -> Column:
 def bypass_mode(code: Column, api: Column) -> Column:
     """How a completion gets around its API."""
     name = F.concat(F.lit(r"\Q"), leaf(api), F.lit(r"\E\b"))
-    own = F.regexp_like(code, F.concat(F.lit(r"(?m)^\s*(?:async\s+def|def|class)\s+"), name))
+    own = F.regexp_like(code, F.concat(F.lit(r"(?m)^\s*(?:class|(?:async\s+)?def)\s+"), name))
     word = F.regexp_like(code, F.concat(F.lit(r"\b"), name))
     return F.when(F.length(code) <= 5, "empty").when(own, "same_name_reimpl").when(~word, "reimplemented").otherwise("referenced_not_invoked")
 

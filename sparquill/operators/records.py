@@ -30,14 +30,13 @@ def match(expected, actual) -> bool:
 
 def stable(a, b):
     """What two fingerprints agree on; None where nothing is left."""
-    if isinstance(a, dict) and isinstance(b, dict):
-        both = {k: x for k in a if k in b and (x := stable(a[k], b[k])) is not None}
-        return both or None
-    if isinstance(a, list) and isinstance(b, list):
-        if len(a) != len(b):
-            return None
-        both = [stable(x, y) for x, y in zip(a, b)]
-        return None if any(x is None for x in both) else both
+    kinds = {type(a), type(b)}
+    if kinds == {dict}:
+        agreed = ((k, stable(x, b[k])) for k, x in a.items() if k in b)
+        return {k: x for k, x in agreed if x is not None} or None
+    if kinds == {list}:
+        agreed = list(map(stable, a, b))
+        return agreed if len(a) == len(b) and None not in agreed else None
     return a if match(a, b) else None
 
 

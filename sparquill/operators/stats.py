@@ -6,6 +6,7 @@ number of clusters, not of tasks.
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 import numpy as np
@@ -21,7 +22,7 @@ def bca(sums: np.ndarray, counts: np.ndarray, alpha: float = 0.05, n_boot: int =
     """Point and bias-corrected accelerated interval of the mean under resampling of clusters."""
     k = len(sums)
     if not k or not counts.sum():
-        return float("nan"), float("nan"), float("nan")
+        return (math.nan,) * 3
     point = sums.sum() / counts.sum()
     draws = np.random.default_rng(seed).integers(0, k, (n_boot, k))
     reps = sums[draws].sum(1) / counts[draws].sum(1)

@@ -104,13 +104,13 @@ def camel_suffix(spark, sf):
     return literal(spark, CAMEL).select("id", X.camel_suffix(F.col("s")).alias("suffix"))
 
 
-@register("exception_type", f"SELECT id, coalesce(regexp_extract_all(s, '(?m)^([A-Z][A-Za-z0-9_]*(?:Error|Exception|Warning|Interrupt))\\b', 1)[-1], '') AS kind FROM {values(ERRORS)}")
+@register("exception_type", f"SELECT id, coalesce(regexp_extract_all(s, '(?m)^([A-Z]\\w*(?:Interrupt|Warning|Exception|Error))\\b', 1)[-1], '') AS kind FROM {values(ERRORS)}")
 def exception_type(spark, sf):
     return literal(spark, ERRORS).select("id", X.exception_type(F.col("s")).alias("kind"))
 
 
 @register("label_rules", f"""SELECT id, CASE WHEN kind IN ('SyntaxError', 'IndentationError') THEN 'WrongSyntax' WHEN kind = 'NameError' AND name = 'foo' THEN 'WrongImport' ELSE 'WrongParameter' END AS label
-FROM (SELECT id, coalesce(regexp_extract_all(s, '(?m)^([A-Z][A-Za-z0-9_]*(?:Error|Exception|Warning|Interrupt))\\b', 1)[-1], '') AS kind, regexp_extract(s, 'name ''([^'']+)''', 1) AS name FROM {values(ERRORS)})""")
+FROM (SELECT id, coalesce(regexp_extract_all(s, '(?m)^([A-Z]\\w*(?:Interrupt|Warning|Exception|Error))\\b', 1)[-1], '') AS kind, regexp_extract(s, 'name ''([^'']+)''', 1) AS name FROM {values(ERRORS)})""")
 def label_rules(spark, sf):
     return literal(spark, ERRORS).select("id", X.label_of(F.col("s"), F.lit("pkg.foo"), F.lit("W_PARAM")).alias("label"))
 
