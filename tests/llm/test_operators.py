@@ -221,11 +221,14 @@ def test_pii_terms_reveal(spark):
 
 # 8
 def test_licenses(spark):
-    mit = licenses.KNOWN[0][1]
-    texts = ["MIT Licence\n".replace("MIT Licence\n", "Copyright (c) 2020 Someone\n\n") + mit.upper().replace(",", " ,"), "prose\nLicenced under the Apache License, version 2.0\nmore", None, "", mit + " extra", "(c) me"]
-    out = {r["doc_id"]: r for r in licenses.scan(docs(spark, *texts), licenses.known_digests(spark), licenses.known_digests(spark, licenses.NOTICES)).collect()}
-    assert [out[i]["license"] for i in range(6)] == ["MIT", None, None, None, None, None]
+    mine = "You may sublicense, use and share this work, so long as this notice stays."
+    texts = ["Copyright (c) 2020 Someone\n\n  YOU MAY sub-licence , use and share this work -- so long as this notice stays", "prose\nLicenced under the Apache License, version 2.0\nmore", None, "", mine + " extra", "(c) me"]
+    known = licenses.known_digests(spark, [("Mine", mine), ("Other", mine.upper())])
+    out = {r["doc_id"]: r for r in licenses.scan(docs(spark, *texts), known, licenses.known_digests(spark, licenses.NOTICES)).collect()}
+    assert [out[i]["license"] for i in range(6)] == ["Mine", None, None, None, None, None]
     assert out[1]["notices"] == "Apache-2.0" and out[2]["canonical_sha256"] == out[5]["canonical_sha256"] == hashlib.sha256(b"").hexdigest()
+    digests = [d for x in licenses.KNOWN.values() for d in x]
+    assert len(digests) == len(set(digests)) == licenses.shipped_digests(spark).count()
 
 
 # 9
