@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import Memo, table
 
 #: Most pre-tokens and token pairs a worker remembers; see Memo.
-MEMO_WORDS = 500_000
-MEMO_PAIRS = 400_000
+MEMO_WORDS = 350_000
+MEMO_PAIRS = 200_000
 #: Longer pre-tokens (in characters) aren't remembered.
 MEMO_CHARS = 48
 
@@ -71,7 +71,7 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], int] = {}
         self.parts: list[tuple[int, int]] = []
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.words = Memo(MEMO_WORDS)
         self._undo()
 
@@ -116,40 +116,42 @@ class ByteBpe:
         whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        n = len(word)
-        starts: list[list[int]] = [[] for _ in range(n)]
-        length = self.length
+        n, length, fits = len(word), self.length, self.fits
+        starts: list[list[int] | None] = [None] * n
         for end, rank in self.automaton.iter(word.decode("latin-1")):
-            starts[end + 1 - length[rank]].append(rank)
-        fits, tokens, at = self.fits, [], 0
-        alive = bytearray(b"\1") * (n + 1)
-        tried = [len(x) for x in starts]
+            at = end + 1 - length[rank]
+            if starts[at] is None:
+                starts[at] = [rank]
+            else:
+                starts[at].append(rank)
+        # what is left to try at the offsets on the path; an offset that failed is dead
+        tokens, at, last = [], 0, -1
+        dead = bytearray(n + 1)
         while at < n:
-            options, k, last = starts[at], tried[at], tokens[-1] if tokens else -1
-            while k:
-                k -= 1
-                rank = options[k]
-                if not alive[at + length[rank]]:
+            options = starts[at]
+            while options:
+                rank = options.pop()
+                end = at + length[rank]
+                if dead[end]:
                     continue
                 if last >= 0:
-                    ok = fits.get((last, rank))
+                    pair = last << 32 | rank
+                    ok = fits.get(pair)
                     if ok is None:
                         if len(fits) >= MEMO_PAIRS:
                             fits.clear()
-                        ok = fits[last, rank] = self._compatible(last, rank)
+                        ok = fits[pair] = self._compatible(last, rank)
                     if not ok:
                         continue
-                tried[at] = k
                 tokens.append(rank)
-                at += length[rank]
-                if at < n:
-                    tried[at] = len(starts[at])
+                at, last = end, rank
                 break
             else:
                 if not tokens:
                     raise ValueError("the vocabulary lacks some byte")
-                alive[at] = 0
+                dead[at] = 1
                 at -= length[tokens.pop()]
+                last = tokens[-1] if tokens else -1
         return tokens
 
     def encode(self, text: str) -> bytes:

@@ -46,7 +46,7 @@ FIRST = 3
 BROADCAST_IDS = 500_000
 #: Copies of a class's row in the final join, so that a hot class is spread over as many tasks.
 SALT = 16
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _RNG = np.random.default_rng(20240229)

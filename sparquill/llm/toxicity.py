@@ -39,7 +39,7 @@ MIN_DOCS = 5
 ROUNDS = 200
 #: Weights below this are dropped between the two descents and at the end.
 WEAK = 0.5
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
