@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, shared_dir, table
 
 FILE_BYTES = 64 << 20
-SHARD_BYTES = 256 << 20
+SHARD_BYTES = 64 << 20
 BINS = 4096
 BROADCAST_ROWS = 200_000
 SALT = 16
