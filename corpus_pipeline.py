@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from sparquill.llm import bpe, mixing, neardup, pii, toxicity
 from sparquill.llm.common import shared_dir, table
 
+#: Similarity, in percent, from which documents are near-duplicates.
+NEAR_PERCENT = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -26,12 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near-duplicates."""
-    return neardup.drop_near_duplicates(docs.select(*COLUMNS), neardup_percent())
-
-
-def neardup_percent() -> int:
-    """Similarity, in percent, from which documents are near-duplicates."""
-    return 80
+    return neardup.drop_near_duplicates(docs.select(*COLUMNS), NEAR_PERCENT)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
