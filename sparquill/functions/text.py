@@ -168,3 +168,54 @@ def label_of(stderr: Column, api: Column, judged: Column) -> Column:
         .when((kind == "NameError") & ((name == leaf(api)) | (name == F.substring_index(api, ".", 1))), "WrongImport")
         .otherwise(by_judge)
     )
+
+
+def parse_timestamp(text: Column, formats: list[str]) -> Column:
+    """Time in the first format that fits; null if none does."""
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+
+def name_changes(old: Column, new: Column) -> Column:
+    """Lines for names added and removed between two lists, sorted; empty if they are equal sets."""
+    line = lambda mark: lambda x: F.concat(F.lit(mark), x)
+    gained = F.transform(F.array_sort(F.array_except(new, old)), line("+"))
+    lost = F.transform(F.array_sort(F.array_except(old, new)), line("-"))
+    return F.array_join(F.concat(gained, lost), "\n")
+
+
+def leaf_variants(name: Column) -> Column:
+    """Sorted spellings under which a name may turn up in a description."""
+    word = leaf(name)
+    spaced = F.lower(F.regexp_replace(F.regexp_replace(word, "([a-z0-9])([A-Z])", "$1 $2"), "_", " "))
+    return F.array_sort(F.array_distinct(F.array(word, F.lower(word), spaced, F.replace(spaced, F.lit(" "), F.lit("")))))
+
+
+def reconcile(listed: Column, described: Column) -> Column:
+    """Parameters (name, type, default, description) of a list, gaps filled from the last of equal
+    name in another; without a list the other as it is."""
+
+    def fill(p):
+        other = F.try_element_at(F.filter(described, lambda x: x["name"] == p["name"]), F.lit(-1))
+        take = lambda field: F.coalesce(p[field], other[field]).alias(field)
+        return F.struct(p["name"].alias("name"), take("type"), take("default"), take("description"))
+
+    return F.when(F.size(listed) > 0, F.transform(listed, fill)).otherwise(described)
+
+
+def scenario_result(stdout: Column, marker: str = "RESULT_DESC:") -> Column:
+    """JSON after the first line that starts with a marker; null if there is none."""
+    return F.nullif(F.regexp_extract(stdout, rf"(?m)^\s*{marker}(.*)$", 1), F.lit(""))
+
+
+def shared_prefix(a: Column, b: Column) -> Column:
+    """Number of leading elements two arrays share."""
+    most = F.least(F.size(a), F.size(b))
+    upto = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+    return F.size(F.filter(upto, lambda i: F.slice(a, 1, i) == F.slice(b, 1, i)))
+
+
+def grounding(cited: Column, doc: Column, code: Column, long_doc: int = 400, long_code: int = 10) -> Column:
+    """What an explanation can rest on: a cited paper, the source where it has enough lines that
+    aren't comments, else the docstring."""
+    lines = F.filter(F.split(F.coalesce(code, F.lit("")), "\n"), lambda x: ~F.regexp_like(x, F.lit(r"^\s*(#|$)")))
+    return F.when(F.size(cited) > 0, "paper").when((F.size(lines) >= long_code) & (F.length(doc) < long_doc), "source").otherwise("docstring")

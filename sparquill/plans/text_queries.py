@@ -182,3 +182,52 @@ def expected_records(spark, sf):
 @register("query_text", "SELECT conv_id, turn, role || chr(10) || coalesce(text, '') AS q FROM conversations")
 def query_text(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.col("role"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("q"))
+
+
+TIMES = ["2024-01-02T03:04:05", "2024-01-02 03:04:05", "2024/01/02", "never"]
+
+
+@register("timestamp_formats", f"SELECT id, strftime(coalesce(try_strptime(s, '%Y-%m-%dT%H:%M:%S'), try_strptime(s, '%Y-%m-%d %H:%M:%S'), try_strptime(s, '%Y/%m/%d')), '%Y%m%d%H%M%S') AS t FROM {values(TIMES)} WHERE id < 3")
+def timestamp_formats(spark, sf):
+    parsed = X.parse_timestamp(F.col("s"), ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd"])
+    return literal(spark, TIMES).select("id", F.date_format(parsed, "yyyyMMddHHmmss").alias("t")).filter("t is not null")
+
+
+@register("name_changes", """
+SELECT user_id, array_to_string(list_concat(list_transform(list_sort(list_filter(n, lambda x: NOT list_contains(o, x))), lambda x: '+' || x), list_transform(list_sort(list_filter(o, lambda x: NOT list_contains(n, x))), lambda x: '-' || x)), chr(10)) AS changes
+FROM (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (event_id % 9 = 0), []) AS o, coalesce(list(DISTINCT event_type) FILTER (event_id % 9 = 1), []) AS n FROM events GROUP BY 1)
+""")
+def name_changes(spark, sf):
+    part = lambda k: F.collect_set(F.when(F.col("event_id") % 9 == k, F.col("event_type")))
+    sets = table(spark, sf, "events").groupBy("user_id").agg(part(0).alias("o"), part(1).alias("n"))
+    return sets.select("user_id", X.name_changes(F.col("o"), F.col("n")).alias("changes"))
+
+
+@register("chat_rows", "SELECT conv_id, count(*)::BIGINT AS n, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
+def chat_rows(spark, sf):
+    messages = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(messages.alias("messages"))
+    joined = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
+    return rows.select("conv_id", F.size("messages").cast("long").alias("n"), F.md5(joined).alias("digest"))
+
+
+@register("shared_path_prefix", "SELECT a.page_id, len(list_filter(range(1, least(len(a.p), len(b.p)) + 1), lambda i: a.p[1:i] = b.p[1:i]))::INT AS shared FROM (SELECT page_id, string_split(url, '/') AS p FROM pages) a JOIN (SELECT page_id, string_split(url, '/') AS p FROM pages) b ON b.page_id = a.page_id + 1")
+def shared_path_prefix(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.split("url", "/").alias("p"))
+    nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("p").alias("q"))
+    return p.join(nxt, "page_id").select("page_id", X.shared_prefix(F.col("p"), F.col("q")).alias("shared"))
+
+
+@register("grounding_rule", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'paper' WHEN len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(#|$)'))) >= 4 AND n_chars < 4000 THEN 'source' ELSE 'docstring' END AS grounding FROM documents")
+def grounding_rule(spark, sf):
+    d = table(spark, sf, "documents")
+    cited = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    doc = F.when(F.col("n_chars") < 4000, "").otherwise(F.repeat(F.lit("x"), F.lit(500)))
+    return d.select("doc_id", X.grounding(cited, doc, F.col("text"), long_code=4).alias("grounding"))
+
+
+@register("resampling_seed_order", "SELECT p_brand, string_agg(p_partkey::VARCHAR, ',' ORDER BY md5('7:' || p_partkey), p_partkey) AS shuffled FROM part WHERE p_size <= 5 GROUP BY 1")
+def resampling_seed_order(spark, sf):
+    p = table(spark, sf, "part").filter("p_size <= 5")
+    ordered = F.array_sort(F.collect_list(F.struct(F.md5(F.concat(F.lit("7:"), "p_partkey")).alias("h"), F.col("p_partkey").alias("k"))))
+    return p.groupBy("p_brand").agg(F.array_join(F.transform(ordered, lambda x: x["k"].cast("string")), ",").alias("shuffled"))

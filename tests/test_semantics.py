@@ -164,3 +164,36 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     (src / "b.json").write_text('{"task_id": "b", "n": 3}\n{"task_id": "c", "n": 4}\n')
     follow(*args).awaitTermination()
     assert sorted(r["task_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_reconcile(spark):
+    kind = "array<struct<name:string,type:string,default:string,description:string>>"
+    listed, told = [("a", None, "1", None), ("b", "int", None, None)], [("a", "str", "2", "x"), ("a", "float", "3", "y")]
+    df = spark.createDataFrame([(listed, told), ([], told)], f"l {kind}, d {kind}")
+    first, second = (r[0] for r in df.select(X.reconcile(F.col("l"), F.col("d"))).collect())
+    assert [tuple(p) for p in first] == [("a", "float", "1", "y"), ("b", "int", None, None)]
+    assert [tuple(p) for p in second] == told
+
+
+def test_names_and_markers(spark):
+    assert column(spark, X.leaf_variants(F.col("s")), "pkg.myFunc_two") == [["my func two", "myFunc_two", "myfunc_two", "myfunctwo"]]
+    assert column(spark, X.scenario_result(F.col("s")), "x\n  RESULT_DESC:{\"a\": 1}\nRESULT_DESC:2", "none") == ['{"a": 1}', None]
+    assert column(spark, X.strip_thinking(F.col("s")), "<think>a</think>b", "c</think>d") == ["b", "d"]
+    assert column(spark, X.first_fence(F.col("s")), "x ```python\na\n``` y", "  b\n", "``````") == ["a", "b", ""]
+    assert column(spark, X.parent(F.col("s")), "a.b.c", "a") == ["a.b", ""]
+
+
+def test_gates(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "task_id int")
+    assert sorted(r[0] for r in setops.instance(ids(1, 2, 3, 4), ids(1, 2, 2, 4), ids(2, 3, 4), ids(4)).collect()) == [2]
+    records_ = spark.createDataFrame([(1, "ok"), (2, "unstable"), (3, "ok"), (4, "odd")], "task_id int, status string")
+    checks = spark.createDataFrame([(1, False, 0), (3, False, 3), (2, False, 0)], "task_id int, passed boolean, n_llm_errors int")
+    assert sorted(map(tuple, setops.derive_exclusions(records_, {"unstable": "unstable_record"}, checks, 3).collect())) == [(1, "c3"), (2, "unstable_record"), (4, "other")]
+
+
+def test_relocations(spark):
+    kind = "ord int, name string, kind string, doc string, params array<struct<name:string,default:string,kind:string>>"
+    p = lambda *n: [(x, None, "k") for x in n]
+    lost = spark.createDataFrame([(1, "a.f", "function", "d" * 50, p("x")), (2, "a.g", "function", "", p("x", "y")), (3, "a.h", "function", "e" * 50, p("x"))], kind)
+    found = spark.createDataFrame([(1, "b.f", "function", "d" * 50, p("x")), (2, "b.g", "function", "new", p("x", "y")), (3, "b.h", "function", "e" * 50, p("z")), (4, "b.k", "function", "", p())], kind)
+    assert {r["name"]: (r["old_name"], r["how"]) for r in diff.relocations(lost, found).collect()} == {"b.f": ("a.f", "exact"), "b.g": ("a.g", "shape"), "b.h": ("a.h", "loose"), "b.k": (None, None)}
