@@ -187,7 +187,7 @@ def query_text(spark, sf):
 TIMES = ["2024-01-02T03:04:05", "2024-01-02 03:04:05", "2024/01/02", "never"]
 
 
-@register("timestamp_formats", f"SELECT id, strftime(coalesce(try_strptime(s, '%Y-%m-%dT%H:%M:%S'), try_strptime(s, '%Y-%m-%d %H:%M:%S'), try_strptime(s, '%Y/%m/%d')), '%Y%m%d%H%M%S') AS t FROM {values(TIMES)} WHERE id < 3")
+@register("timestamp_formats", f"SELECT id, strftime(try_cast(replace(s, '/', '-') AS TIMESTAMP), '%Y%m%d%H%M%S') AS t FROM {values(TIMES)} WHERE id < 3")
 def timestamp_formats(spark, sf):
     parsed = X.parse_timestamp(F.col("s"), ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd"])
     return literal(spark, TIMES).select("id", F.date_format(parsed, "yyyyMMddHHmmss").alias("t")).filter("t is not null")
