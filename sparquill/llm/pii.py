@@ -3,12 +3,14 @@ functions only.
 
 Base kinds (email, ip, card, phone) are found by patterns and checked (parts of an address, the
 Luhn sum, numbers of digits); a match that fails is dropped. Each value found is a protected
-entity. Around every mention, CONTEXT characters each way give its context's words; over the whole
-corpus, terms are counted in contexts of each entity and anywhere. What is left to learn about the
-entity once the term is known is -log2 p(entity | term) bits. A term that leaves at most
-REMOVE_BITS is removed, one that leaves at most GENERALISE_BITS is generalised to its first letter,
-wherever it stands in the corpus. It takes SUPPORT different contexts: copies of one text are one
-observation and disclose nothing by themselves.
+entity, however rarely it is mentioned. Around every mention, CONTEXT characters each way give its
+context's words. Both counts of p(entity | term) are of documents: those where the term stands in a
+context of the entity, and those that hold the term; SMOOTHING documents more mention the entity as
+often as the corpus does. What is left to learn about the entity once the term is known is
+-log2 p(entity | term) bits. A term that leaves at most REMOVE_BITS is removed, one that leaves at
+most GENERALISE_BITS is generalised to its first letter, wherever it stands in the corpus. Copies of
+a text are one observation of its entities (documents without the entity count each), and a term
+that makes the entity no likelier than the corpus does discloses nothing.
 
 The patterns are written without backtracking over runs, so a text of any length takes time
 linear in it. Term counts are aggregated before the shuffle. Tables of terms and of documents that
@@ -35,7 +37,7 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone", "term")
 
 CONTEXT = 64
-SUPPORT = 3
+SMOOTHING = 0.5
 REMOVE_BITS = 0.5
 GENERALISE_BITS = 1.0
 LETTERS = 3
@@ -93,15 +95,20 @@ def revealing_terms(found: DataFrame, text: str = "text", spans: str = "__base")
     left = F.when(begin > 0, F.regexp_replace(F.substring(F.col("t"), begin + 1, s["start"] - begin), r"^\p{L}+", "")).otherwise(F.substring(F.col("t"), F.lit(1), s["start"]))
     right = F.substring(F.col("t"), s["end"] + 1, F.lit(CONTEXT))
     right = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    context = mention.select(F.lower(s["value"]).alias("entity"), F.concat(left, F.lit(" | "), right).alias("c"))
-    pairs = context.select("entity", F.xxhash64("c").alias("h"), F.explode(F.array_distinct(_terms_of(F.col("c")))).alias("term"))
-    joint = pairs.groupBy("entity", "term", "h").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
-    joint = checkpoint(joint.filter(F.col("contexts") >= SUPPORT))
+    terms = _terms_of(F.concat(left, F.lit(" | "), right))
+    context = mention.select(F.xxhash64(F.lower(s["value"])).alias("entity"), F.xxhash64("t").alias("h"), F.explode_outer(terms).alias("term"))
+    copies = found.filter(F.size(spans) > 0).groupBy(F.xxhash64(whole).alias("h")).agg(F.count("*").alias("rows"))
+    seen = checkpoint(context.distinct().join(copies, "h"))
+    docs = found.count()
+    entities = seen.select("entity", "h", "rows").distinct().groupBy("entity").agg((F.count("*") / (docs - F.sum("rows") + F.count("*"))).alias("prior"))
+    joint = seen.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.sum("rows").alias("rows_both"))
     wanted = joint.select("term").distinct()
-    words = found.select(F.explode(_terms_of(text_of(whole))).alias("term"))
-    totals = words.join(_small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    bits = -F.log2(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0)))
-    told = joint.join(totals, "term").groupBy("term").agg(F.min(bits).alias("bits")).filter(F.col("bits") <= GENERALISE_BITS)
+    words = found.select(F.explode(F.array_distinct(_terms_of(text_of(whole)))).alias("term"))
+    totals = words.groupBy("term").agg(F.count("*").alias("rows_term")).join(_small(wanted), "term", "left_semi")
+    n_term = F.col("rows_term") - F.col("rows_both") + F.col("n_both")
+    p = (F.col("n_both") + SMOOTHING * F.col("prior")) / (n_term + SMOOTHING)
+    told = joint.join(totals, "term").join(entities, "entity").withColumn("p", p).filter(F.col("p") > F.col("prior"))
+    told = told.groupBy("term").agg((-F.log2(F.max("p"))).alias("bits")).filter(F.col("bits") <= GENERALISE_BITS)
     return told.select("term", F.when(F.col("bits") <= REMOVE_BITS, "remove").otherwise("generalise").alias("action"))
 
 
@@ -118,12 +125,15 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str =
     joined = found.join(_small(hits), F.col(doc_id) == F.col("__id"), "left").drop("__id")
     t = text_of(text)
 
-    def spans_of(hit):
-        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), hit["term"], F.lit(r"(?!\p{L})"))
-        put = lambda v: F.when(hit["action"] == "remove", "").otherwise(F.concat(F.substring(v, 1, 1), F.lit("*")))
-        return F.transform(_found(t, pattern, 4), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), put(s["value"]).alias("value")))
+    def spans_of(action, put):
+        hits = F.coalesce("__hits", F.array().cast("array<struct<term:string,action:string>>"))
+        names = F.transform(F.filter(hits, lambda h: h["action"] == action), lambda h: h["term"])
+        # one pass for all terms of an action
+        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
+        masked = F.transform(_found(t, pattern, 4), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), put(s["value"]).alias("value")))
+        return F.when(F.size(names) > 0, masked).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-    terms_here = F.flatten(F.transform(F.coalesce("__hits", F.array().cast("array<struct<term:string,action:string>>")), spans_of))
+    terms_here = F.concat(spans_of("remove", lambda v: F.lit("")), spans_of("generalise", lambda v: F.concat(F.substring(v, 1, 1), F.lit("*"))))
     return joined.withColumn(out, F.array_sort(F.concat("__base", terms_here))).drop("__base", "__hits")
 
 

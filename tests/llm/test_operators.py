@@ -219,6 +219,16 @@ def test_pii_terms_reveal(spark):
     assert all("quorvex" in r["text"] for r in pii.redact(copies).collect())
 
 
+def test_pii_terms_reveal_rare_entities(spark):
+    plain = ["please write about the matter today"] * 9
+    once, twice = "Zebulon please write about z.m@example.com today", "the matter of Okonkwo today {} at 10.1.2.3 please"
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, *plain, once, twice.format("about"), twice.format("write"), "Zebulon", "matter")).collect()}
+    assert out[9] == "Zebulon please write about [EMAIL] today" and out[12] == "Zebulon"  # one of two documents
+    assert out[10] == "the matter of  today about at [IP] please" and out[13] == "matter"
+    lone = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, *plain, once)).collect()}
+    assert lone[9] == "Z* please write about [EMAIL] today" and lone[0] == plain[0]
+
+
 # 8
 def test_licenses(spark):
     mine = "You may sublicense, use and share this work, so long as this notice stays."
