@@ -2,15 +2,16 @@
 
 A document is a bag of sentences. A sentence's logit is a bias plus the weights of its words'
 features (the lower-cased word and its prefixes of 4, 5 and 6 letters, so that inflected forms
-are caught), its probability the logistic of that; a document's probability is the noisy-or of
-its sentences. Only documents carry labels; the weights are fitted to them through the noisy-or,
-and the fitted sentence scores then locate the offending sentences.
+are caught), its probability the logistic of that, and 0 if no feature has a weight; a document's
+probability is the noisy-or of its sentences and, once, of a base rate, so that length alone adds
+nothing. Only documents carry labels; the weights are fitted to them through the noisy-or, and the
+fitted sentence scores then locate the offending sentences.
 
 The model is fitted on the driver, on at most MAX_TRAIN labelled documents (a documented bound:
 those whose id hashes lowest), whatever the size of the corpus, and holds at most MAX_FEATURES
 weights. Scoring is a map over whole texts without a shuffle.
 
-Cases: null and empty texts have one empty sentence, so they get the bias alone; labels that are
+Cases: null and empty texts have no evidence, so they get the base rate alone; labels that are
 null or of unknown documents are left out; several labels of one document count as toxic if any
 is; with no toxic or no clean label every score is the share of toxic ones (0 without labels);
 repeated rows are scored alike; other columns are kept, whatever their names.
@@ -52,10 +53,11 @@ def features(word: str) -> set[str]:
 
 @dataclass
 class Model:
-    """Weights by feature, and the bias of a sentence."""
+    """Weights by feature, the bias of a sentence with any, and the logit of a document without."""
 
     bias: float = -20.0
     weights: dict[str, float] = field(default_factory=dict)
+    base: float = -20.0
 
     def word(self, word: str) -> float:
         """A word's weight."""
@@ -68,20 +70,20 @@ class Model:
         for m in SENTENCE.finditer(text):
             words = set(WORD.findall(m.group().lower()))
             if words:
-                out.append((m.start(), m.end(), _logistic(self.bias + sum(map(word, words)))))
+                z = sum(map(word, words))
+                out.append((m.start(), m.end(), _logistic(self.bias + z) if z else 0.0))
         return out
 
     def document(self, text: str, memo: Memo) -> float:
-        """Noisy-or of the sentences' probabilities; a text without words has one sentence without words."""
+        """Noisy-or of the base rate and the sentences' probabilities."""
         words = set(WORD.findall(text.lower()))
         new = {w: self.word(w) for w in words if w not in memo}
         weight = {w: x for w in words if (x := new[w] if w in new else memo[w])}
         for w, x in new.items():
             memo.keep(w, x)
+        clean = math.log1p(-min(_logistic(self.base), 1 - 1e-12))
         if weight:
-            clean = sum(math.log1p(-min(p, 1 - 1e-12)) for _, _, p in self.sentences(text, lambda w: weight.get(w, 0.0)))
-        else:
-            clean = max(1, len(SENTENCE.findall(text))) * math.log1p(-_logistic(self.bias))
+            clean += sum(math.log1p(-min(p, 1 - 1e-12)) for _, _, p in self.sentences(text, lambda w: weight.get(w, 0.0)))
         return -math.expm1(clean)
 
 
@@ -94,7 +96,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     y = np.array(toxic, bool)
     if not len(y) or y.all() or not y.any():
         share = min(float(y.mean()) if len(y) else 0.0, 1 - 1e-9)
-        return Model(math.log(share / (1 - share)) if share else -50.0)
+        return Model(base=math.log(share / (1 - share)) if share else -50.0)
     # features that mark toxic documents, by the z-score of their log odds ratio
     seen = (Counter(), Counter())
     for text, label in zip(texts, toxic, strict=True):
@@ -110,20 +112,19 @@ def train(texts: list[str], toxic: list[int]) -> Model:
                 scored.append((-z, f, odds))
     scored.sort()
     weights = {f: max(0.0, odds) / 4 for _, f, odds in scored[:MAX_FEATURES]}
-    bias = -6.0
+    bias = base = -6.0
     for _ in range(2):  # the second time without the features that the first found weak
         bags = _bags(texts, weights)
-        bias, weights = _descend(bags, y, weights, bias)
+        bias, base, weights = _descend(bags, y, weights, bias, base)
         weights = {f: w for f, w in weights.items() if w > WEAK}
-    return Model(bias, weights)
+    return Model(bias, weights, base)
 
 
 def _bags(texts: list[str], weights: dict[str, float]):
-    """Sentences with a feature: their documents, and (sentence, feature) pairs; and each
-    document's number of sentences without any."""
+    """Sentences with a feature: their documents, and (sentence, feature) pairs."""
     index = {f: k for k, f in enumerate(weights)}
     known: dict[str, list[int]] = {}
-    doc_of, rows, cols, plain = [], [], [], np.zeros(len(texts))
+    doc_of, rows, cols = [], [], []
     for d, text in enumerate(texts):
         for m in SENTENCE.findall(text):
             hits: set[int] = set()
@@ -135,27 +136,24 @@ def _bags(texts: list[str], weights: dict[str, float]):
                 rows += [len(doc_of)] * len(hits)
                 cols += sorted(hits)
                 doc_of.append(d)
-            else:
-                plain[d] += 1
-        plain[d] = max(plain[d], 1)
-    return np.array(doc_of, int), np.array(rows, int), np.array(cols, int), plain
+    return np.array(doc_of, int), np.array(rows, int), np.array(cols, int)
 
 
-def _descend(bags, y: np.ndarray, weights: dict[str, float], bias: float) -> tuple[float, dict[str, float]]:
+def _descend(bags, y: np.ndarray, weights: dict[str, float], bias: float, base: float) -> tuple[float, float, dict[str, float]]:
     """Minimise the noisy-or's log loss by Adam."""
-    doc_of, rows, cols, plain = bags
-    w, b = np.array(list(weights.values())), bias
-    moment, square, n = np.zeros(len(w) + 1), np.zeros(len(w) + 1), len(y)
+    doc_of, rows, cols = bags
+    w, b, c = np.array(list(weights.values())), bias, base
+    moment, square, n = np.zeros(len(w) + 2), np.zeros(len(w) + 2), len(y)
     for t in range(1, ROUNDS + 1):
         z = b + np.bincount(rows, w[cols], len(doc_of))
-        s = plain * np.logaddexp(0, b) + np.bincount(doc_of, np.logaddexp(0, z), n)
+        s = np.logaddexp(0, c) + np.bincount(doc_of, np.logaddexp(0, z), n)
         ds = np.where(y, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0) / n
         dz = ds[doc_of] / (1 + np.exp(-z))
-        grad = np.r_[np.bincount(cols, dz[rows], len(w)), (ds * plain).sum() / (1 + np.exp(-b)) + dz.sum()]
+        grad = np.r_[np.bincount(cols, dz[rows], len(w)), dz.sum(), ds.sum() / (1 + np.exp(-c))]
         moment, square = 0.9 * moment + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         step = 0.1 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], max(-12.0, b - step[-1])
-    return float(b), dict(zip(weights, w.tolist(), strict=True))
+        w, b, c = w - step[:-2], max(-12.0, b - step[-2]), max(-12.0, c - step[-1])
+    return float(b), float(c), dict(zip(weights, w.tolist(), strict=True))
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep=None, max_train: int = MAX_TRAIN) -> Model:

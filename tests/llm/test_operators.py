@@ -242,6 +242,17 @@ def test_licenses(spark):
 
 
 # 9
+def test_toxicity_does_not_grow_with_length():
+    plain = [f"a plain sentence with word{i}. and another one." for i in range(90)]
+    bad = [f"a plain sentence. such zorkish talk {i}." for i in range(10)]
+    # some labels are wrong
+    model = toxicity.train([*plain, *bad], [int(i % 12 == 0) for i in range(90)] + [1] * 10)
+    memo = toxicity.Memo(1000)
+    clean = "one more plain sentence. " * 20_000
+    assert model.document(clean, memo) == model.document("one more plain sentence.", memo) == model.document("", memo) < 0.5
+    assert model.document(clean + "such zorkish talk.", memo) >= 0.5 and [p >= 0.5 for _, _, p in model.sentences("plain. zorkish talk.")] == [False, True]
+
+
 def test_toxicity_finds_held_out_documents(spark, sf_dir):
     d = dict(duckdb.sql("select doc_id, text from '/root/testdata/sf0.1/documents.parquet'").fetchall())
     labels = duckdb.sql("select doc_id, toxic from '/root/testdata/sf0.1/labels.parquet' order by 1").fetchall()
