@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,34 +46,41 @@ def nearest_within(scored: DataFrame, radius: float, query: str = "query_id", ch
 
 
 def mmr(df: DataFrame, by: str, n: int, lam: float = 0.5, item: str = "id", quality: str = "quality", emb: str = "emb") -> DataFrame:
-    """Maximal marginal relevance within each group: (by, item, position). Starts at the best
-    quality (scaled to [0, 1]), then adds what trades quality against likeness to the chosen; first
-    by id on ties; a group of n rows and less passes whole. Sequential within a group, which
-    must fit a task: groups are first cut to bounded size by the suffix cap."""
-    import pandas as pd
-
-    def pick(key, pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(item, kind="stable")
-        ids = pdf[item].to_numpy()
-        if len(pdf) <= n:
-            chosen = list(range(len(pdf)))
-        else:
-            q = pdf[quality].to_numpy(float)
-            q = np.ones(len(q)) if q.max() == q.min() else (q - q.min()) / (q.max() - q.min())
-            vectors = np.stack([np.asarray(v, float) for v in pdf[emb]])
-            chosen = [int(q.argmax())]
-            like = vectors @ vectors[chosen[0]]
-            while len(chosen) < n:
-                gain = lam * q - (1 - lam) * like
-                gain[chosen] = -np.inf
-                chosen.append(int(gain.argmax()))
-                like = np.maximum(like, vectors @ vectors[chosen[-1]])
-        return pd.DataFrame({by: [key[0]] * len(chosen), item: ids[chosen], "position": range(1, len(chosen) + 1)})
-
-    kinds = dict(df.dtypes)
-    return df.select(by, item, quality, emb).groupBy(by).applyInPandas(pick, f"`{by}` {kinds[by]}, `{item}` {kinds[item]}, position int")
+    """Maximal marginal relevance over all rows of each group: (by, item, position). Starts at the
+    best quality (scaled to [0, 1]), then adds what trades quality against the greatest likeness to
+    the chosen; first by item on ties; a group of n rows and less passes whole, by item. A round is
+    an argmax of each group over all rows; only the chosen, n a group at most, go from round to round."""
+    rows = df.select(F.col(by).alias("g"), F.col(item).alias("i"), F.col(quality).cast("double").alias("q"), F.col(emb).alias("e"), F.monotonically_increasing_id().alias("k"))
+    rows = _cut(rows)  # k stays the same from round to round
+    groups = rows.groupBy("g").agg(F.count("*").alias("size"), F.min("q").alias("lo"), F.max("q").alias("hi")).withColumnRenamed("g", "h")
+    rows = rows.join(groups, F.col("g").eqNullSafe(F.col("h")))
+    whole = rows.filter(F.col("size") <= n).withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy("i", "k")))
+    scaled = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("q") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    large = rows.filter(F.col("size") > n).select("g", "i", "k", "e", scaled.alias("q"))
+    chosen = None
+    for position in range(1, n + 1):
+        left, gain = large, F.col("q")
+        if chosen is not None:
+            so_far = chosen.groupBy(F.col("g").alias("h")).agg(F.collect_list("k").alias("ks"), F.collect_list("e").alias("es"))
+            left = large.join(so_far, F.col("g").eqNullSafe(F.col("h"))).filter(~F.array_contains("ks", F.col("k")))
+            gain = lam * F.col("q") - (1 - lam) * F.array_max(F.transform("es", lambda v: dot(F.col("e"), v)))
+        best = left.select("g", F.struct((-gain).alias("loss"), "i", "k", "e").alias("x")).groupBy("g").agg(F.min("x").alias("x"))
+        best = best.select("g", "x.i", "x.k", "x.e", F.lit(position).alias("position"))
+        chosen = _cut(best if chosen is None else chosen.unionByName(best))
+    out = [whole.select("g", "i", "position")] + ([] if chosen is None else [chosen.select("g", "i", "position")])
+    return reduce(DataFrame.unionByName, out).select(F.col("g").alias(by), F.col("i").alias(item), "position")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Lineage cut by a checkpoint in the folder that spark.checkpoint.dir names; in local mode, where
+    that is unset, in a temporary one."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparquill-"))
+    return df.checkpoint(eager=True)
 
 
 def suffix_cap(df: DataFrame, group: str, quality: str, order: str, cap: int = 3, least: int = 5) -> DataFrame:

@@ -75,7 +75,7 @@ def shared_hits(spark, sf):
 @register("mmr_select")
 def mmr_select(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), (F.col("vec_id") % 7).cast("double").alias("quality"), F.col("embedding").alias("emb"))
-    return R.mmr(R.suffix_cap(e, "grp", "quality", "id", cap=40), "grp", 10)
+    return R.mmr(e, "grp", 10)
 
 
 @register("strip_html", "SELECT page_id, left(regexp_replace(html, '<[^>]+>', '', 'g'), 1000) AS text FROM pages")

@@ -9,6 +9,7 @@ from sparquill.functions import code as C
 from sparquill.functions import predicates as P
 from sparquill.functions import text as X
 from sparquill.operators import diff, records, retrieval, setops, stats, verdicts
+from sparquill.plans import registry
 from sparquill.sources import files
 from sparquill.streaming.resume import follow
 
@@ -117,6 +118,25 @@ def test_mmr_and_cap(spark):
     assert {r["g"]: r["n"] for r in capped.groupBy("g").agg(F.count("*").alias("n")).collect()} == {"a": 4, "b": 3}
 
 
+def test_mmr_query_takes_whole_groups(spark, sf_dir):
+    groups = {}
+    for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect():
+        groups.setdefault(r["label"], []).append((r["vec_id"], float(r["vec_id"] % 7), [float(x) for x in r["embedding"]]))
+    assert max(map(len, groups.values())) > 40
+    want = {}
+    for g, rows in groups.items():
+        lo, hi = min(q for _, q, _ in rows), max(q for _, q, _ in rows)
+        chosen = rows[:] if len(rows) <= 10 else []
+        while len(rows) > 10 and len(chosen) < 10:
+            like = lambda e: max((sum(x * y for x, y in zip(e, c, strict=True)) for _, _, c in chosen), default=0.0)  # noqa: E731, B023
+            chosen.append(min((r for r in rows if r not in chosen), key=lambda r: (-(r[1] - lo) / (hi - lo) + like(r[2]), r[0])))  # noqa: B023
+        want[g] = [i for i, _, _ in chosen]
+    got = {}
+    for r in registry.queries()["mmr_select"](spark, sf_dir).orderBy("position").collect():
+        got.setdefault(r["grp"], []).append(r["id"])
+    assert got == want
+
+
 def test_fuzzy(spark):
     old = "x" * 10 + " the quick brown fox jumps over the lazy dog"
     rows = lambda *d: spark.createDataFrame([(i, f"m.f{i}", "function", x) for i, x in enumerate(d)], "ord int, name string, kind string, doc string")
