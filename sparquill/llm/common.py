@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +53,70 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables that one job writes to the shared folder to cut lineage, and deletes when they are
+    spent. What a result still reads lazily must not be kept here."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, written out."""
+        path = f"{self.folder}/{len(self.tables)}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((kept, path))
+        return kept
+
+    def drop(self, *spent: DataFrame) -> None:
+        """Delete some of the tables."""
+        for df in spent:
+            delete(self.spark, next(path for kept, path in self.tables if kept is df))
+
+    def close(self) -> None:
+        """Delete all."""
+        delete(self.spark, self.folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared folder."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(to, True)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with one row a group, without a hot task. Groups of more than a thousandth of
+    the rows, of which there are fewer than a thousand, are broadcast; the others are joined by
+    shuffle. size: the column of groups with the (greatest possible) number of the group's rows."""
+    edge = max(1000, total // 1000)
+    hot, cold = groups.filter(F.col(size) > edge), groups.filter(F.col(size) <= edge)
+    if hot.isEmpty():
+        return rows.join(groups, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that go to Python workers, where the session lets them be larger."""
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+@contextmanager
+def no_cycles():
+    """Without the garbage collector, for code that makes no cycles: it would walk the memos again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Memo(dict):
     """What a worker remembers by word. Once full it takes no more, as words seen first are the
     frequent ones, until it has turned away four times its size, when it starts anew."""
