@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import leaf, strip
 
-THIN_OPENINGS = ["alias for", "see ", "same as", "deprecated", "todo", "internal", "wrapper for", "wrapper around", "helper", "constructor", "initialize self", "return self", "none", "undocumented", "base class", "abstract"]
+#: Openings of texts that come from a base class or a builtin, or say nothing.
+THIN_OPENINGS = [
+    "todo", "fixme", "xxx:", "note:", "thanks to chatgpt", "str(object=", "dict() -> new empty dictionary",
+    "abstract base class for", "base class for protocol classes", "base class for all neural network modules",
+    *[f"common base class for all {kind}exceptions" for kind in ("", "non-exit ")],
+    *[f"implement {verb}attr(self, name{more})" for verb, more in (("get", ""), ("set", ", value"))],
+    "information about how to convert command line strings",
+    "helper class that provides a standard way to create an abc",
+]
+#: Names that libraries take over from the standard library.
+ALIASES = sorted(
+    "Any Callable ClassVar Dict FrozenSet Generator Generic Iterable Iterator List Literal Mapping NamedTuple Optional Protocol Sequence Set Tuple Type TypedDict TypeVar Union".split()
+    + "date datetime time timedelta timezone".split()
+)
+PLUMBING = ["_compat", "_internal", "_lib", "_utils", "_vendor", "_vendored", "array_api_compat"]
+INTERNAL = ["base", "impl", "internals", "main"]
+VENDORED = ["pandas.io.clipboard"]
+#: Parameters that tell nothing about a callable.
+PLAIN_PARAMETERS = ["args", "cls", "kwargs", "self"]
+INFORMATIVE = ["a", "cols", "dtype", "dtypes", "exc", "h", "idx", "items", "keys", "len", "r", "s", "shape", "v"]
+GENERIC_CONSTRUCTORS = [f"(self, {mid}*args, **{name})" for mid, name in (("", "kwds"), ("", "kwargs"), ("/, ", "kwargs"))]
 
 
 def is_private(name: Column) -> Column:
@@ -16,14 +36,14 @@ def is_private(name: Column) -> Column:
 
 
 def is_deprecated(doc: Column) -> Column:
-    """The docstring calls the entry deprecated."""
-    return F.regexp_like(doc, F.lit(r"(?i)\.\. deprecated::|deprecated since|(?:is|was|been) deprecated"))
+    """The docstring calls the entry deprecated, announces its removal or names what to use instead."""
+    return F.regexp_like(F.coalesce(doc, F.lit("")), F.lit(r"(?i)\bdeprecated\b|will be removed|use .+ instead"))
 
 
 def is_thin(doc: Column, least: int = 40) -> Column:
     """Short docstring, or one whose first paragraph opens with a stock phrase."""
-    d = strip(doc)
-    first = F.lower(F.regexp_replace(F.element_at(F.split(d, r"\n\s*\n"), 1), r"\s+", " "))
+    d = strip(F.coalesce(doc, F.lit("")))
+    first = F.lower(strip(F.regexp_replace(F.substring_index(d, "\n\n", 1), r"(?U)\s+", " ")))
     opens = F.exists(F.lit(THIN_OPENINGS), lambda p: F.startswith(first, p))
     return (F.length(d) < least) | opens
 
@@ -33,38 +53,45 @@ def has_no_source(path: Column) -> Column:
     return path.isNull() | F.regexp_like(F.lower(path), F.lit(r"\.(so|pyd|dll)$"))
 
 
-def is_vendored(name: Column, prefix: str) -> Column:
+def is_vendored(name: Column, prefixes: list[str] = VENDORED) -> Column:
     """The entry lies in a vendored subpackage."""
-    return F.startswith(name, F.lit(prefix + "."))
+    return F.exists(F.lit(prefixes), lambda p: F.startswith(name, F.concat(p, F.lit("."))))
 
 
 def is_self_private(doc: Column) -> Column:
-    """The docstring starts by calling the entry private."""
-    return F.regexp_like(doc, F.lit(r"(?i)^\s*(private|internal)\b"))
+    """The docstring starts by calling the entry private or internal."""
+    return F.regexp_like(F.coalesce(doc, F.lit("")), F.lit(r"(?i)^\s*(private|internal)\b"))
 
 
 def is_foreign(path: Column, package: str) -> Column:
-    """The package is no segment of the source path."""
-    return ~F.array_contains(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), package)
+    """The package, if any is named, is no segment of the source path; without a path false."""
+    if not package:
+        return F.lit(False)
+    return F.coalesce(~F.array_contains(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), package), F.lit(False))
 
 
-def has_internal_module(name: Column, internal: list[str]) -> Column:
+def has_internal_module(name: Column, internal: list[str] = INTERNAL) -> Column:
     """Three segments and more, the last but one an internal module's name."""
     s = F.split(name, r"\.")
     return (F.size(s) >= 3) & F.coalesce(F.try_element_at(s, F.lit(-2)).isin(internal), F.lit(False))
 
 
-def is_plumbing(path: Column, name: Column, internal: list[str]) -> Column:
-    """The source lies in an internal folder that the public name doesn't share."""
-    inside = F.split(F.substring_index(path, "site-packages/", -1), "/")
-    s = F.split(name, r"\.")
-    shared = F.array_intersect(F.slice(inside, 2, 100), F.slice(s, 2, 100))
-    return F.arrays_overlap(inside, F.lit(internal)) & ~F.exists(s, lambda x: F.startswith(x, F.lit("_"))) & (F.size(shared) == 0)
+def is_plumbing(path: Column, name: Column, internal: list[str] = PLUMBING) -> Column:
+    """The source lies in an internal folder below site-packages, and its folders share no segment
+    with the public module, none of whose segments is private. Package and leaf don't count."""
+    mark = "site-packages/"
+    at = F.instr(path, mark)
+    folders = lambda x, sep: F.slice(F.split(x, sep), 1, F.size(F.split(x, sep)) - 1)
+    inside = folders(F.substr(path, at + len(mark)), "/")
+    public = folders(name, r"\.")
+    rest = lambda x: F.filter(x, lambda _, i: i > 0)
+    found = F.arrays_overlap(inside, F.lit(internal)) & ~F.exists(public, lambda x: F.startswith(x, F.lit("_"))) & ~F.arrays_overlap(rest(inside), rest(public))
+    return F.coalesce((at > 0) & found, F.lit(False))
 
 
-def is_type_alias(kind: Column, n_params: Column, doc: Column, name: Column, aliases: list[str]) -> Column:
-    """A function without parameters and text, or a class with an alias's name."""
-    bare = (kind == "function") & (n_params == 0) & (strip(F.coalesce(doc, F.lit(""))) == "")
+def is_type_alias(kind: Column, n_params: Column, doc: Column, name: Column, aliases: list[str] = ALIASES) -> Column:
+    """A function or method with neither parameters nor docstring, or a class with an alias's name."""
+    bare = kind.isin("function", "method") & (n_params == 0) & (F.coalesce(doc, F.lit("")) == "")
     return bare | ((kind == "class") & leaf(name).isin(aliases))
 
 
@@ -96,3 +123,83 @@ def gate_novel(fails: Column, least: int) -> Column:
 def gate_solved(n_passed: Column, least: int = 1) -> Column:
     """Passes reached; a task without a record passes."""
     return F.coalesce(n_passed >= least, F.lit(True))
+
+
+def quality_score(doc: Column, params: Column) -> Column:
+    """Length of the docstring times the number of telling parameters, at least 1."""
+    telling = F.filter(params, lambda p: ~p["name"].isin(PLAIN_PARAMETERS))
+    return (F.length(F.coalesce(doc, F.lit(""))) * F.greatest(F.lit(1), F.size(telling))).cast("double")
+
+
+def catalogue_rules(package: str, least: int = 40, internal: list[str] = INTERNAL, patterns: list[str] = ()) -> list[tuple[str, Column]]:
+    """All rules for entries (name, kind, params, doc, path), in order: the first that holds is why an entry goes."""
+    name, kind, doc, path = map(F.col, ("name", "kind", "doc", "path"))
+    return [
+        ("private", is_private(name)),
+        ("deprecated", is_deprecated(doc)),
+        ("type_alias", is_type_alias(kind, F.size("params"), doc, name)),
+        ("undocumented", F.coalesce(doc, F.lit("")) == ""),
+        ("thin", is_thin(doc, least)),
+        ("no_source", has_no_source(path)),
+        ("plumbing", is_plumbing(path, name)),
+        ("vendored", is_vendored(name)),
+        ("self_private", is_self_private(doc)),
+        ("foreign", is_foreign(path, package)),
+        ("internal_module", has_internal_module(name, internal)),
+        *[(f"pattern_{i}", F.regexp_like(leaf(name), F.lit(p))) for i, p in enumerate(patterns)],
+    ]
+
+
+def apply_filters(entries: DataFrame, package: str, **options) -> DataFrame:
+    """The entries that no rule rejects."""
+    return entries.filter(reject_reason(catalogue_rules(package, **options)).isNull())
+
+
+def is_informative(keys: Column) -> Column:
+    """Whether a fingerprint's keys tell something about its value."""
+    return F.coalesce(F.arrays_overlap(keys, F.lit(INFORMATIVE)), F.lit(False))
+
+
+def without_parameters(params: Column, stop: list[str] = (*PLAIN_PARAMETERS, "*args", "**kwargs")) -> Column:
+    """Parameters whose names aren't in a stop list."""
+    return F.filter(params, lambda p: ~p["name"].isin(list(stop)))
+
+
+def example_status(passed: Column, timed_out: Column, stderr: Column, stdout: Column, resource: list[str], library: list[str]) -> Column:
+    """executed if it ran, static if only its surroundings stopped it, else failed."""
+    blob = F.concat_ws("\n", F.coalesce(stderr, F.lit("")), F.coalesce(stdout, F.lit("")))
+    marked = F.exists(F.lit([*resource, *library]).cast("array<string>"), lambda m: F.contains(blob, m))
+    return F.when(passed, "executed").when(timed_out | marked, "static").otherwise("failed")
+
+
+def recheck(samples: Column) -> tuple[Column, Column]:
+    """Of sample verdicts: whether any passed, and how many have none."""
+    return F.coalesce(F.exists(samples, lambda s: s), F.lit(False)), F.size(F.filter(samples, lambda s: s.isNull()))
+
+
+def is_supported(kind: Column, name: Column, doc: Column, signature: Column, n_params: Column, n_examples: Column) -> Column:
+    """False for classes that only name values: a generic constructor, nothing known, and a name or text that says so."""
+    text = strip(F.coalesce(doc, F.lit("")))
+    builtin = F.exists(F.lit(["str(", "int(", "float(", "bytes(", "tuple(", "list(", "dict(", "set("]), lambda p: F.startswith(text, p))
+    named = F.regexp_like(leaf(name), F.lit("(Name|Enum|Type|Mode)$"))
+    generic = strip(F.coalesce(signature, F.lit(""))).isin(GENERIC_CONSTRUCTORS)
+    return ~(F.coalesce(kind == "class", F.lit(False)) & generic & (n_params == 0) & (n_examples == 0) & (named | builtin))
+
+
+def task_reject_reason(api: Column, difficulty: Column, description: Column, reference: Column, masked: Column, difficulties: list[str]) -> Column:
+    """Why a proposed task isn't taken, else null."""
+    told, solved = strip(F.coalesce(description, F.lit(""))), strip(F.coalesce(reference, F.lit("")))
+    code = F.concat(strip(F.coalesce(masked, F.lit(""))), solved)
+    return reject_reason(
+        [
+            ("difficulty", ~F.coalesce(difficulty.isin(difficulties), F.lit(False))),
+            ("empty", (told == "") | (solved == "")),
+            ("names_api", F.contains(F.lower(told), F.lower(leaf(api)))),
+            ("unused_api", ~F.contains(code, api) & ~F.contains(code, leaf(api))),
+        ]
+    )
+
+
+def is_bypass_candidate(passed: Column, label: Column, call_check_failed: Column) -> Column:
+    """A failure by selection that isn't the call check's."""
+    return (passed == 0) & (label == "WrongAPISelection") & (call_check_failed == 0)

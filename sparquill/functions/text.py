@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NO_STRINGS = "array<string>"
 
@@ -52,20 +53,21 @@ def version_key(version: Column) -> Column:
     return F.transform(F.split(F.replace(version, F.lit("-"), F.lit(".")), r"\."), lambda p: F.coalesce(F.regexp_replace(p, r"\D", "").try_cast("int"), F.lit(0)))
 
 
-def is_prerelease(version: Column) -> Column:
-    """Whether a version that isn't all digits and dots holds a, b, rc, dev or post."""
-    return F.regexp_like(version, F.lit("a|b|rc|dev|post")) & ~F.regexp_like(version, F.lit(r"^[0-9.]+$"))
+def is_prerelease(version: Column, marks: str = "a|b|rc|dev|post") -> Column:
+    """Whether a version that isn't all digits and dots holds a mark, in either case."""
+    low = F.lower(version)
+    return F.regexp_like(low, F.lit(marks)) & ~F.regexp_like(F.replace(low, F.lit("."), F.lit("")), F.lit(r"^[0-9]+$"))
 
 
 def exception_type(stderr: Column) -> Column:
-    """Last line-initial exception name; dotted or lower-case names don't count."""
-    found = F.regexp_extract_all(stderr, F.lit(r"(?m)^([A-Z]\w*(?:Interrupt|Warning|Exception|Error))\b"), F.lit(1))
+    """Last line-initial exception name of letters and underscores; dotted or lower-case names don't count."""
+    found = F.regexp_extract_all(F.coalesce(stderr, F.lit("")), F.lit(r"(?m)^([A-Z][A-Za-z_]*(?:Interrupt|Warning|Exception|Error))\b"), F.lit(1))
     return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
 
 
 def undefined_name(stderr: Column) -> Column:
-    """First name that an error calls undefined, else null."""
-    return F.nullif(F.regexp_extract(stderr, r"name '([^']+)' is not defined", 1), F.lit(""))
+    """First name that a NameError calls undefined, else null."""
+    return F.nullif(F.regexp_extract(stderr, r"NameError: name '([^']+)' is not defined", 1), F.lit(""))
 
 
 def stderr_tail(stderr: Column) -> Column:
@@ -74,9 +76,10 @@ def stderr_tail(stderr: Column) -> Column:
 
 
 def strip_thinking(text: Column) -> Column:
-    """Without think blocks; before a lone closing tag everything goes."""
-    t = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    return F.when(F.contains(t, F.lit("</think>")), F.substring_index(t, "</think>", -1)).otherwise(t)
+    """Without think blocks, and without what stands before a lone closing tag; stripped."""
+    t = F.regexp_replace(text, r"(?s)<think>.*?</think>\s*", "")
+    at = F.instr(t, "</think>")
+    return strip(F.when(at > 0, F.substr(t, at + len("</think>"))).otherwise(t))
 
 
 def first_fence(text: Column) -> Column:
@@ -85,6 +88,15 @@ def first_fence(text: Column) -> Column:
     return strip(F.when(F.regexp_like(text, F.lit(fence)), F.regexp_extract(text, fence, 1)).otherwise(text))
 
 
+def unwrap_solution(code: Column) -> Column:
+    """What follows the header of a function ``solution`` without parameters, if there is one."""
+    head = "def solution():"
+    at = F.instr(code, head)
+    rest = F.substr(code, at + len(head))
+    opened = F.when(F.contains(code, F.lit("\n")), F.substr(code, F.instr(code, "\n") + 1)).otherwise("")
+    return F.when(at == 1, opened).when(at > 1, rest).otherwise(code)
+
+
 def outermost_json(text: Column) -> Column:
     """From the first brace to the last; null if there is none."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
@@ -100,12 +112,18 @@ def _tagged(kind: str):
 
 
 def citations(doc: Column) -> Column:
-    """Distinct citations of a docstring: DOIs, arXiv ids, bracketed references, URLs; in that order, first kind wins."""
-    kinds = [("doi", r"10\.\d{4,9}/[^\s\"<>]+"), ("arxiv", r"(?i)arxiv:\s*(\d{4}\.\d{4,5})"), ("reference", r"\.\. \[([^\]]+)\]"), ("url", r"https?://[^\s\"<>)]+")]
+    """Distinct citations of a docstring: arXiv ids, ids of paper pages, DOIs, author and year; in that
+    order, each value once, under the kind that finds it first."""
+    number = r"(\d{4}\.\d{4,5}(?:v\d+)?)"
+    kinds = [
+        ("arxiv", rf"(?i)(?:arxiv:|arxiv\.org/abs/){number}"),
+        ("arxiv", rf"(?i)huggingface\.co/papers/{number}"),
+        ("doi", r"""(?i)(?:doi:|https?://doi\.org/)(10\.\d{4,}/[^\s,)\]>"']+)"""),
+        ("author_year", r"[\[(]([A-Z][a-zA-Z\-]+(?: et al\.?)?,?\s*\d{4})[\])]"),
+    ]
     parts = []
     for kind, pattern in kinds:
-        group = 1 if "(" in pattern.replace("(?i)", "") and kind in ("arxiv", "reference") else 0
-        found = F.regexp_extract_all(doc, F.lit(pattern), F.lit(group))
+        found = F.regexp_extract_all(F.coalesce(doc, F.lit("")), F.lit(pattern), F.lit(1))
         if kind == "doi":
             found = F.transform(found, lambda x: F.regexp_replace(x, r"\.+$", ""))
         parts.append(F.transform(found, _tagged(kind)))
@@ -124,12 +142,23 @@ def pass_at_k(n: Column, c: Column, k: int) -> Column:
     return F.when(n - c < k, 1.0).when(c == 0, 0.0).otherwise(1 - miss)
 
 
+def normalize_default(value: Column) -> Column:
+    """A default without what differs from run to run: object addresses, and paths into environments,
+    interpreters, job and temporary folders. Null stays null."""
+    quoted = r"[^\s'\"]*"
+    below = [r"(?:site-packages|lib-dynload)/" + quoted, r"bin/python[\d.]*", r"job-\d+" + quoted]
+    paths = "|".join([f"/{quoted}/{x}" for x in below] + [f"/{quoted}tmp{quoted}", "/tmp/[A-Za-z0-9_]{6,}"])
+    return F.regexp_replace(F.regexp_replace(value, "0x[0-9a-fA-F]{6,}", "0xADDR"), f"({paths})", "<ENVPATH>")
+
+
 def signature_changed(old: Column, new: Column) -> Column:
-    """Whether parameters (name, default, kind) differ beyond ``self``; from none to some isn't a change."""
+    """Whether parameters (name, default, kind) differ beyond ``self``, defaults compared as
+    normalised; from none to some isn't a change."""
     keep = lambda p: F.filter(p, lambda x: x["name"] != "self")
     o, n = keep(old), keep(new)
-    differs = F.exists(F.zip_with(o, n, lambda x, y: x["name"].eqNullSafe(y["name"]) & x["kind"].eqNullSafe(y["kind"]) & x["default"].eqNullSafe(y["default"])), lambda same: ~same)
-    return F.when((F.size(o) == 0) & (F.size(n) > 0), False).otherwise((F.size(o) != F.size(n)) | differs)
+    same = lambda x, y: x["name"].eqNullSafe(y["name"]) & x["kind"].eqNullSafe(y["kind"]) & normalize_default(x["default"]).eqNullSafe(normalize_default(y["default"]))
+    differs = F.exists(F.zip_with(o, n, same), lambda equal: ~equal)
+    return F.when((F.size(old) == 0) & (F.size(new) > 0), False).otherwise((F.size(o) != F.size(n)) | differs)
 
 
 def render_knowledge(parts: list[tuple[Column, Column]]) -> Column:
@@ -137,35 +166,67 @@ def render_knowledge(parts: list[tuple[Column, Column]]) -> Column:
     return F.concat_ws("\n\n", *[F.when(on & (F.coalesce(text, F.lit("")) != ""), text) for on, text in parts])
 
 
-def build_prompt(description: Column, context: Column, knowledge: Column) -> Column:
-    """Prompt of a task with or without knowledge."""
+def build_prompt(description: Column, context: Column, knowledge: Column, instructions: str = "") -> Column:
+    """Prompt of a task: reference documentation if there is any, context, task, instructions."""
     k = F.coalesce(knowledge, F.lit(""))
-    return F.concat(F.when(k != "", F.concat(F.lit("Reference:\n"), k, F.lit("\n\n"))).otherwise(""), F.lit("Task:\n"), description, F.lit("\n\nContext:\n"), F.coalesce(context, F.lit("")))
+    lead = F.when(k != "", F.concat(F.lit("# Reference Documentation:\n"), k, F.lit("\n\n---\n\n"))).otherwise("")
+    return F.concat(lead, F.coalesce(context, F.lit("")), F.lit("\n\n# Task:\n"), description, F.lit("\n\n" + instructions))
 
 
-def stable_hash(*parts: Column) -> Column:
-    """SHA-256 of parts as JSON with sorted keys: a cache key."""
-    return F.sha2(F.to_json(F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])), 256)
+def stable_hash(**parts: Column) -> Column:
+    """Cache key: SHA-256 of the named parts as JSON with sorted keys; nulls are kept as null."""
+    return F.sha2(F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]), {"ignoreNullFields": "false"}), 256)
 
 
 def bypass_mode(code: Column, api: Column) -> Column:
-    """How a completion gets around its API."""
+    """How a completion, given as its extracted code, gets around its API."""
+    code = strip(F.coalesce(code, F.lit("")))
     name = F.concat(F.lit(r"\Q"), leaf(api), F.lit(r"\E\b"))
     own = F.regexp_like(code, F.concat(F.lit(r"(?m)^\s*(?:class|(?:async\s+)?def)\s+"), name))
     word = F.regexp_like(code, F.concat(F.lit(r"\b"), name))
     return F.when(F.length(code) <= 5, "empty").when(own, "same_name_reimpl").when(~word, "reimplemented").otherwise("referenced_not_invoked")
 
 
-def label_of(stderr: Column, api: Column, judged: Column) -> Column:
-    """Failure label: monitor, syntax and import rules in order, else the judge's group."""
-    kind = exception_type(stderr)
-    name = undefined_name(stderr)
-    groups = {"W_API": "WrongAPISelection", "W_PARAM": "WrongParameter", "W_LOGIC": "WrongLogic", "W_ENV": "EnvironmentError"}
-    by_judge = F.coalesce(*[F.when(judged == k, v) for k, v in groups.items()], F.lit("Unlabelled"))
+JUDGE_LABELS = {"W_PARAM": "WrongParam", "W_SHAPE_DTYPE": "WrongShapeDtype", "W_LOGIC": "WrongLogic"}
+
+
+def judge_verdict(raw: Column, mentioned: Column) -> Column:
+    """(group, rationale) of a judge's answer, the JSON object in it. Without a group of the known
+    four: W_LOGIC where the code mentions the API, else W_API, and no rationale."""
+    got = F.from_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")), "class string, rationale string")
+    group, said = strip(got["class"]), F.left(strip(F.coalesce(got["rationale"], F.lit(""))), F.lit(240))
+    known = F.coalesce(group.isin("W_API", *JUDGE_LABELS), F.lit(False))
+    return F.struct(F.when(known, group).when(mentioned, "W_LOGIC").otherwise("W_API").alias("group"), F.when(known, said).otherwise("").alias("rationale"))
+
+
+def api_label(kind: Column, called: Column, rationale: Column, api: Column) -> Column:
+    """Label of a failure that is the API's: selection, import or syntax, by exception and rationale."""
+    said, name = F.lower(F.coalesce(rationale, F.lit(""))), F.lower(leaf(api))
+    named = (name != "") & F.contains(said, name)
+    unresolved = kind.isin("NameError", "ImportError", "ModuleNotFoundError")
+    return (
+        F.when(kind.isin("SyntaxError", "IndentationError") | F.regexp_like(said, F.lit("empty stub|pass[- ]only")), "WrongSyntax")
+        .when(unresolved & (called | named | F.contains(said, F.lit("target api symbol"))), "WrongImport")
+        .when(unresolved | ~called | (kind == "AssertionError") | ((kind == "AttributeError") & named), "WrongAPISelection")
+        .otherwise("WrongImport")
+    )
+
+
+def label_of(stderr: Column, api: Column, code: Column, raw: Column, timed_out: Column | None = None) -> Column:
+    """Failure label: the monitor's assertion, syntax and unresolved names in order, else the judge's
+    answer ``raw``. A timeout goes to the judge."""
+    err = F.coalesce(stderr, F.lit(""))
+    late = F.lit(False) if timed_out is None else F.coalesce(timed_out, F.lit(False))
+    kind = F.when(late, "Timeout").otherwise(exception_type(err))
+    mentioned = F.contains(F.coalesce(code, F.lit("")), leaf(api))
+    name = undefined_name(err)
+    symbol = F.coalesce((name == leaf(api)) | (name == F.substring_index(api, ".", 1)), F.lit(False))
+    judged = judge_verdict(raw, mentioned)
+    by_judge = F.coalesce(*[F.when(judged["group"] == k, v) for k, v in JUDGE_LABELS.items()], api_label(kind, mentioned, judged["rationale"], api))
     return (
-        F.when(F.contains(stderr, F.lit("API was not called")), "WrongAPISelection")
-        .when(kind.isin("SyntaxError", "IndentationError"), "WrongSyntax")
-        .when((kind == "NameError") & ((name == leaf(api)) | (name == F.substring_index(api, ".", 1))), "WrongImport")
+        F.when(~late & F.regexp_like(err, F.lit(r"(?i)AssertionError:\s*solution did not call target API")), "WrongAPISelection")
+        .when(~late & kind.isin("SyntaxError", "IndentationError"), "WrongSyntax")
+        .when(~late & symbol, api_label(kind, F.lit(False), F.lit("target api symbol"), api))
         .otherwise(by_judge)
     )
 
@@ -175,19 +236,28 @@ def parse_timestamp(text: Column, formats: list[str]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
-def name_changes(old: Column, new: Column) -> Column:
-    """Lines for names added and removed between two lists, sorted; empty if they are equal sets."""
-    line = lambda mark: lambda x: F.concat(F.lit(mark), x)
-    gained = F.transform(F.array_sort(F.array_except(new, old)), line("+"))
-    lost = F.transform(F.array_sort(F.array_except(old, new)), line("-"))
-    return F.array_join(F.concat(gained, lost), "\n")
+def summarise_changes(old_signature: Column, old: Column, new_signature: Column, new: Column) -> Column:
+    """Lines on parameters (name, default) added, removed and with another default, in this order and
+    sorted by name; both signatures if there are none. self and cls don't count."""
+    names = lambda p: F.array_distinct(F.transform(F.filter(p, lambda x: ~x["name"].isin("self", "cls")), lambda x: x["name"]))
+    last = lambda p, n: F.nullif(F.try_element_at(F.filter(p, lambda x: x["name"] == n), F.lit(-1))["default"], F.lit(""))
+    shown = lambda v: F.when(v.isNull(), "None").when(F.contains(v, F.lit("'")) & ~F.contains(v, F.lit('"')), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    listed = lambda text, found: F.when(F.size(found) > 0, F.concat(F.lit(text), F.array_join(F.array_sort(found), ", ")))
+    both = F.array_sort(F.array_intersect(names(old), names(new)))
+    moved = F.filter(both, lambda n: ~last(old, n).eqNullSafe(last(new, n)))
+    lines = F.transform(moved, lambda n: F.concat(F.lit("- Parameter '"), n, F.lit("' default changed: "), shown(last(old, n)), F.lit(" → "), shown(last(new, n))))
+    found = F.array_compact(F.concat(F.array(listed("- New parameters added: ", F.array_except(names(new), names(old))), listed("- Parameters removed: ", F.array_except(names(old), names(new)))), lines))
+    neither = F.concat(F.lit("- Old signature: "), old_signature, F.lit("\n- New signature: "), new_signature, F.lit("\n- (Exact change not determined — tasks should test new parameter behaviour)"))
+    return F.when(F.size(found) > 0, F.array_join(found, "\n")).otherwise(neither)
 
 
 def leaf_variants(name: Column) -> Column:
-    """Sorted spellings under which a name may turn up in a description."""
+    """Sorted spellings of a name's last segment: as it is, as lower-case words, run together, and the
+    first two with s, ed, ing and er."""
     word = leaf(name)
-    spaced = F.lower(F.regexp_replace(F.regexp_replace(word, "([a-z0-9])([A-Z])", "$1 $2"), "_", " "))
-    return F.array_sort(F.array_distinct(F.array(word, F.lower(word), spaced, F.replace(spaced, F.lit(" "), F.lit("")))))
+    spaced = F.lower(F.replace(word, F.lit("_"), F.lit(" ")))
+    ended = [F.concat(w, F.lit(end)) for w in (word, spaced) for end in ("s", "ed", "ing", "er")]
+    return F.array_sort(F.array_distinct(F.array(word, spaced, F.lower(F.replace(word, F.lit("_"), F.lit(""))), *ended)))
 
 
 def reconcile(listed: Column, described: Column) -> Column:
@@ -214,8 +284,121 @@ def shared_prefix(a: Column, b: Column) -> Column:
     return F.size(F.filter(upto, lambda i: F.slice(a, 1, i) == F.slice(b, 1, i)))
 
 
-def grounding(cited: Column, doc: Column, code: Column, long_doc: int = 400, long_code: int = 10) -> Column:
-    """What an explanation can rest on: a cited paper, the source where it has enough lines that
-    aren't comments, else the docstring."""
-    lines = F.filter(F.split(F.coalesce(code, F.lit("")), "\n"), lambda x: ~F.regexp_like(x, F.lit(r"^\s*(#|$)")))
-    return F.when(F.size(cited) > 0, "paper").when((F.size(lines) >= long_code) & (F.length(doc) < long_doc), "source").otherwise("docstring")
+ROLES = ["function", "exception", "enum", "protocol", "dataclass", "namedtuple", "typeddict", "plain_class"]
+
+
+def api_role(kind: Column, class_role: Column) -> Column:
+    """Role of an entry: function unless it is a class, whose unknown roles count as plain."""
+    return F.when(kind != "class", "function").when(class_role.isin(ROLES), class_role).otherwise("plain_class")
+
+
+def grounding(doc: Column, role: Column, path: Column, code: Column, least_code: int = 10, least_source: int = 15) -> Column:
+    """What an explanation can rest on: papers that the docstring cites; the source of functions whose
+    docstring lets one expect ``least_source`` lines, and of plain classes with a docstring of 200
+    characters and ``least_code`` lines of code; else the docstring."""
+    n = F.length(F.coalesce(doc, F.lit("")))
+    expected = F.when(n > 500, 50).when(n > 200, 25).when(n > 50, 15).otherwise(5)
+    lines = F.filter(F.split(F.coalesce(code, F.lit("")), r"\r?\n"), lambda x: ~F.regexp_like(x, F.lit(r"^\s*(#|$)")))
+    return (
+        F.when(F.size(citations(doc)) > 0, "paper")
+        .when((role == "function") & (F.coalesce(path, F.lit("")) != "") & (expected >= least_source), "source")
+        .when((role == "plain_class") & (n >= 200) & (F.size(lines) >= least_code), "source")
+        .otherwise("docstring")
+    )
+
+
+STOCK_OPENINGS = [f"{a} {b} " for a in ("the", "this") for b in ("class", "component", "enum", "exception", "function", "protocol", "utility")]
+STOCK_OPENINGS += [f"this {b} " for b in ("dataclass", "module", "named tuple", "namedtuple", "typed dict", "typeddict")]
+
+
+def opens_with_stock_phrase(text: Column) -> Column:
+    """Whether the first line that isn't blank opens with a stock phrase."""
+    first = F.lower(strip(F.substring_index(strip(F.coalesce(text, F.lit(""))), "\n", 1)))
+    return F.exists(F.lit(STOCK_OPENINGS), lambda p: F.startswith(first, p))
+
+
+def holds_any(text: Column, phrases: list[str]) -> Column:
+    """Whether a text holds one of some phrases, in any case."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.exists(F.lit(phrases), lambda p: F.contains(low, p))
+
+
+def mentions(line: Column, api: Column) -> Column:
+    """Whether a line names an API in full, or its leaf of more than four characters."""
+    return F.contains(line, api) | (F.contains(line, leaf(api)) & (F.length(leaf(api)) > 4))
+
+
+def clean_annotation(annotation: Column) -> Column:
+    """The bare name of a class or enum shown by its repr; other annotations as they are, empty ones null."""
+    inner = F.regexp_extract(strip(annotation), r"^<(?:class|enum) '([^']+)'>$", 1)
+    return F.when(inner != "", leaf(inner)).otherwise(F.nullif(annotation, F.lit("")))
+
+
+def return_type(value: Column, documented: Column, kind: Column, name: Column) -> Column:
+    """A stated return type, unless it says nothing; else the documented one; else a class's own name."""
+    said = strip(value.cast("string"))
+    told = F.when(~F.lower(said).isin("", "null", "unknown", "n/a"), said)
+    return F.coalesce(told, documented, F.when(kind == "class", name))
+
+
+def parameter_lines(params: Column) -> Column:
+    """One line for each parameter (name, type, default, description)."""
+    some = lambda lead, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(lead), value)).otherwise("")
+    line = lambda p: F.concat(F.lit("- "), p["name"], some(": ", p["type"]), F.coalesce(F.concat(F.lit(" = "), p["default"]), F.lit("")), some(" — ", F.left(p["description"], F.lit(160))))
+    return F.array_join(F.transform(params, line), "\n")
+
+
+def signature_text(params: Column) -> Column:
+    """A signature of parameters (name, type, default)."""
+    some = lambda lead, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(lead), value)).otherwise("")
+    return F.concat(F.lit("("), F.array_join(F.transform(params, lambda p: F.concat(p["name"], some(": ", p["type"]), some(" = ", p["default"]))), ", "), F.lit(")"))
+
+
+def number_examples(codes: Column) -> Column:
+    """Code blocks under numbered headings."""
+    return F.array_join(F.transform(codes, lambda c, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(":\n```python\n"), c, F.lit("\n```"))), "\n\n")
+
+
+def pick_layers(names: Column) -> Column:
+    """Which of the scenarios that ran, in their order, the three test layers take: (first: one, pair:
+    two to compare, last: one); null or empty where there are too few."""
+    of = lambda prefix: F.filter(names, lambda n: F.startswith(n, F.lit(prefix)))
+    at = lambda xs, k: F.get(xs, F.lit(k))
+    basic, changed, edge = of("basic_"), of("changed_input_"), of("edge_")
+    pair = (
+        F.when((F.size(basic) > 0) & (F.size(changed) > 0), F.array(at(basic, 0), at(changed, 0)))
+        .when(F.size(basic) > 1, F.slice(basic, 1, 2))
+        .when(F.size(names) > 1, F.slice(names, 1, 2))
+        .otherwise(F.array().cast(NO_STRINGS))
+    )
+    last = F.coalesce(at(edge, 0), at(basic, 1), at(names, 1))
+    return F.struct(F.coalesce(at(basic, 0), at(names, 0)).alias("first"), pair.alias("pair"), last.alias("last"))
+
+
+def join_fragments(*parts: Column) -> Column:
+    """Fragments of a script that aren't empty, parted by blank lines."""
+    return F.concat_ws("\n\n", *[F.nullif(p, F.lit("")) for p in parts])
+
+
+def insert_after(script: Column, marker: str, fragment: Column) -> Column:
+    """A script with a fragment after the first marker; unchanged without one."""
+    at = F.instr(script, marker)
+    cut = at + len(marker)
+    return F.when(at > 0, F.concat(F.left(script, cut - 1), F.lit("\n"), fragment, F.substr(script, cut))).otherwise(script)
+
+
+def portable(df: DataFrame) -> DataFrame:
+    """df with the prefixes of installed packages' paths, in any text however deep, made <site-packages>/."""
+
+    def clean(c: Column, kind) -> Column:
+        if isinstance(kind, T.StringType):
+            return F.regexp_replace(c, r"[\w./~-]*/lib/python3\.\d+/site-packages/", "<site-packages>/")
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: clean(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(c, lambda _, v: clean(v, kind.valueType))
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[clean(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        return c
+
+    return df.select(*[clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])

@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INFORMATIVE = {"v", "len", "h", "shape", "dtype", "s", "items", "keys", "cols"}
-
+from ..functions.predicates import INFORMATIVE
 
 def match(expected, actual) -> bool:
     """Whether ``actual`` holds all of ``expected``; floats within 1e-6 relative or 1e-9 absolute,
@@ -29,15 +28,47 @@ def match(expected, actual) -> bool:
 
 
 def stable(a, b):
-    """What two fingerprints agree on; None where nothing is left."""
-    kinds = {type(a), type(b)}
-    if kinds == {dict}:
-        agreed = ((k, stable(x, b[k])) for k, x in a.items() if k in b)
-        return {k: x for k, x in agreed if x is not None} or None
-    if kinds == {list}:
-        agreed = list(map(stable, a, b))
-        return agreed if len(a) == len(b) and None not in agreed else None
-    return a if match(a, b) else None
+    """What two fingerprints agree on; None where nothing is shared. Of dicts the keys that agree, of
+    lists of one length each place, {} where it differs."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        agreed = {k: stable(x, b[k]) for k, x in a.items() if k in b}
+        return {k: x for k, x in agreed.items() if x is not None}
+    if isinstance(a, list) and isinstance(b, list):
+        return None if len(a) != len(b) else [{} if x is None else x for x in map(stable, a, b)]
+    if isinstance(a, float) and isinstance(b, int | float) and not isinstance(b, bool):
+        return a if math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9) else None
+    return a if a == b else None
+
+
+def expected_of(runs: list[list[dict]]) -> tuple[list[dict], str]:
+    """Calls of several runs folded to what is stable, and a status: ok where all runs have as many
+    calls, unstable where calls were paired by kind, no_calls where the first run has none. A call
+    keeps its return where that is informative (never that of a constructor), else its arguments;
+    of a subclass only the kind counts. Repeated records count once."""
+    first, rest = runs[0], runs[1:]
+    if not first:
+        return [], "no_calls"
+    status = "ok" if all(len(r) == len(first) for r in rest) else "unstable"
+    out = {}
+    for place, call in enumerate(first):
+        kind, now = call.get("kind"), call
+        for other in rest:
+            if status == "ok":
+                now = stable(now, other[place]) or {}
+            else:  # of one kind, what agrees most
+                now = max((stable(now, c) or {} for c in other if c.get("kind") == kind), key=lambda c: len(json.dumps(c)), default={})
+        args, explicit = now.get("args", {}), call.get("args", {}).get("__explicit__")
+        if explicit is not None:
+            args = {k: v for k, v in args.items() if k in explicit}
+        given = now.get("ret", {})
+        if kind == "subclass":
+            record = {"kind": kind}
+        elif kind != "init" and isinstance(given, dict) and not set(INFORMATIVE).isdisjoint(given):
+            record = {"kind": kind, "ret": given}
+        else:
+            record = {"kind": kind, "args": args}
+        out.setdefault(json.dumps(record, sort_keys=True), record)
+    return list(out.values()), status
 
 
 def add_all_matched(df: DataFrame, expected: str = "expected", calls: str = "calls", out: str = "matched") -> DataFrame:
@@ -53,26 +84,12 @@ def add_all_matched(df: DataFrame, expected: str = "expected", calls: str = "cal
 
 
 def expected_records(runs: DataFrame, key: str = "task_id", order: str = "run", calls: str = "calls") -> DataFrame:
-    """(key, expected, status): the calls of a task's runs folded to what is stable over them. Status
-    ok where every run has as many calls, unstable where calls were paired by kind, no_calls where
-    the first run has none."""
+    """(key, expected, status): expected_of a task's runs, as JSON."""
     kind = dict(runs.dtypes)[key]
 
     def fold(k, pdf):
-        every = [json.loads(x or "[]") for x in pdf.sort_values(order)[calls]]
-        first, status = every[0], "ok"
-        if not first:
-            return pd.DataFrame([[k[0], "[]", "no_calls"]], columns=[key, "expected", "status"])
-        for other in every[1:]:
-            if len(other) == len(first):
-                first = [stable(a, b) for a, b in zip(first, other)]
-            else:
-                status = "unstable"
-                best = lambda a, other=other: max((s for b in other if (s := stable(a, b)) is not None), key=lambda s: len(json.dumps(s, sort_keys=True)), default=None)
-                first = [best(a) for a in first]
-            first = [x for x in first if x is not None]
-        seen = dict.fromkeys(json.dumps(x, sort_keys=True) for x in first)
-        return pd.DataFrame([[k[0], f"[{', '.join(seen)}]", status]], columns=[key, "expected", "status"])
+        found, status = expected_of([json.loads(x or "[]") for x in pdf.sort_values(order)[calls]])
+        return pd.DataFrame([[k[0], json.dumps(found, sort_keys=True), status]], columns=[key, "expected", "status"])
 
     return runs.groupBy(key).applyInPandas(fold, f"`{key}` {kind}, expected string, status string")
 

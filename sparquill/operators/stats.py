@@ -7,13 +7,18 @@ number of clusters, not of tasks.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.predicates import is_bypass_candidate
+from ..functions.text import bypass_mode
+from . import verdicts
+
 BOOT, SEED = 10_000, 20260912
 PERM, TEST_SEED = 5_000, 2026
 
@@ -85,3 +90,87 @@ def interaction(diffs: DataFrame, by: str, side: str, value: str = "diff", clust
         return pd.DataFrame([[key[0], delta, low, high, (hits + 1) / (PERM + 1)]], columns=[by, "delta", "lo", "hi", "p"])
 
     return sums.groupBy(by).applyInPandas(run, f"`{by}` {kind}, delta double, lo double, hi double, p double")
+
+
+def paired_diff_ci(pairs: DataFrame, by: list[str], a: str = "passed_a", b: str = "passed_b", **options) -> DataFrame:
+    """Interval of mean(a) - mean(b) of arms scored on the same tasks; clusters are shared by both."""
+    return mean_ci(pairs.withColumn("__d", F.col(a) - F.col(b)), by, "__d", **options)
+
+
+def intervals(frame: DataFrame, by: list[str], measures: dict[str, Column], cluster: str = "api_name", order: str = "ord") -> DataFrame:
+    """For each group, of each measure the mean in percent and its interval: name, name_lo, name_hi;
+    null where the measure has no value."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), v.cast("double").alias("v")) for m, v in measures.items()]))
+    long = frame.select(*by, cluster, order, each.alias("x")).select(*by, cluster, order, "x.m", "x.v").filter("v is not null")
+    found = mean_ci(long, [*by, "m"], "v", cluster, order).select(*by, "m", *[(100 * F.col(c)).alias(c) for c in ("point", "lo", "hi")])
+    at = lambda m, c: F.max(F.when(F.col("m") == m, F.col(c)))
+    return found.groupBy(*by).agg(*[at(m, c).alias(m if c == "point" else f"{m}_{c}") for m in measures for c in ("point", "lo", "hi")])
+
+
+def condition_intervals(frame: DataFrame, conditions: list[str], reference: str) -> DataFrame:
+    """verdicts.condition_table with intervals, in percent, of every pass rate and contrast."""
+    w = verdicts.wide(frame, conditions).join(frame.groupBy("task_id").agg(F.min_by("api_name", "ord").alias("api_name"), F.min("ord").alias("ord")), "task_id")
+    arms = F.array(*[F.struct(F.lit(c).alias("condition"), F.col(f"`{c}`").alias("p"), F.when(F.lit(c != reference), F.col(f"`{c}`") - F.col(f"`{reference}`")).alias("d")) for c in conditions])
+    long = w.select("api_name", "ord", F.explode(arms).alias("x")).select("api_name", "ord", "x.*")
+    found = intervals(long, ["condition"], {"pass1": F.col("p"), "delta_pct": F.col("d")})
+    return verdicts.condition_table(frame, conditions, reference).join(found, "condition")
+
+
+def cross_backbone(frame: DataFrame, models: list[str], conditions: list[str], reference: str) -> DataFrame:
+    """condition_intervals of each model on the tasks that all of them have."""
+    seen = frame.filter(F.col("model").isin(models)).groupBy("task_id").agg(F.count_distinct("model").alias("n"))
+    shared = frame.join(seen.filter(F.col("n") == len(models)).select("task_id"), "task_id", "left_semi")
+    parts = [condition_intervals(shared.filter(F.col("model") == m), conditions, reference).select(F.lit(i).alias("model_ord"), F.lit(m).alias("model"), "*") for i, m in enumerate(models)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def failure_intervals(frame: DataFrame, conditions: list[str], labels: list[str]) -> DataFrame:
+    """Share of each label in each condition, in percent, with its interval; zeros included."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("label_ord"), F.lit(x).alias("row_label"), (F.col("label") == x).cast("double").alias("v")) for i, x in enumerate(labels)]))
+    long = frame.filter(F.col("condition").isin(conditions)).select("condition", "api_name", "ord", each.alias("x")).select("condition", "api_name", "ord", "x.*")
+    return intervals(long, ["condition", "label_ord", "row_label"], {"share": F.col("v")}).withColumnRenamed("row_label", "label")
+
+
+def novelty_intervals(frame: DataFrame, conditions: list[str]) -> DataFrame:
+    """Pass rate on new and on modified APIs, in percent, with its interval; frame has is_modified."""
+    f = frame.filter(F.col("condition").isin(conditions)).withColumn("novelty", F.when(F.col("is_modified"), "modified").otherwise("new"))
+    return intervals(f, ["novelty", "condition"], {"pass1": F.col("passed")})
+
+
+def arm_intervals(pairs: DataFrame, by: str = "condition") -> DataFrame:
+    """Two arms of the same tasks (passed_a, passed_b, api_name, ord) by group: both rates, their
+    difference b - a, all in percent with intervals; discordant counts, exact p, Holm over the groups."""
+    found = intervals(pairs, [by], {"a": F.col("passed_a"), "b": F.col("passed_b"), "change": F.col("passed_b") - F.col("passed_a")})
+    counts = verdicts.paired_summary(pairs, by).select(by, "n", "n01", "n10", "p")
+    return verdicts.holm(counts.join(found, by), "p", by)
+
+
+def interaction_holm(tests: DataFrame, by: str) -> DataFrame:
+    """interaction()'s rows with p corrected over all groups."""
+    return verdicts.holm(tests, "p", by)
+
+
+def bypass_table(scored: DataFrame, base: tuple[str, str]) -> DataFrame:
+    """Bypass modes by cell (method, condition), over the tasks that every cell has. scored: method,
+    condition, task_id, api_name, passed, label, call_check_failed, code (extracted), ord. Share of
+    bypasses in percent with its interval, and, against the cell ``base``, the paired difference with
+    interval and exact p (null for the base itself)."""
+    cells = scored.select("method", "condition").distinct().count()
+    full = scored.groupBy("task_id").agg(F.count_distinct("method", "condition").alias("n")).filter(F.col("n") == cells).select("task_id")
+    mode = F.when(is_bypass_candidate(F.col("passed"), F.col("label"), F.col("call_check_failed")), bypass_mode(F.col("code"), F.col("api_name")))
+    rows = scored.join(full, "task_id", "left_semi").withColumn("mode", mode)
+    rows = rows.withColumn("bypass", F.coalesce(F.col("mode").isin("reimplemented", "same_name_reimpl"), F.lit(False)).cast("double"))
+    is_base = (F.col("method") == base[0]) & (F.col("condition") == base[1])
+    reference = rows.filter(is_base).select("task_id", F.col("bypass").alias("ref"))
+    rows = rows.join(reference, "task_id", "left").withColumn("ref", F.when(~is_base, F.col("ref")))
+    key = ["method", "condition"]
+    counts = rows.groupBy(*key).agg(
+        F.count("*").alias("n_tasks"),
+        F.count("mode").alias("n_selection_failures"),
+        *[F.count_if(F.col("mode") == m).alias(m) for m in ("reimplemented", "same_name_reimpl", "referenced_not_invoked", "empty")],
+        F.count_if((F.col("bypass") < 0.5) & (F.col("ref") > 0.5)).alias("n01"),
+        F.count_if((F.col("bypass") > 0.5) & (F.col("ref") < 0.5)).alias("n10"),
+        F.count("ref").alias("__n"),
+    )
+    found = intervals(rows, key, {"bypass_pct": F.col("bypass"), "bypass_vs_base": F.col("bypass") - F.col("ref")})
+    return counts.join(found, key).withColumn("p", F.when(F.col("__n") > 0, verdicts.mcnemar_p(F.col("n01"), F.col("n10")))).drop("__n")

@@ -21,13 +21,13 @@ def verdicts(spark: SparkSession, sf_dir: str, condition: str = "l_returnflag")
     return v.select("task_id", "api_name", "library", "size", "condition", "passed", label.alias("label"), F.col("task_id").alias("ord"))
 
 
-LABELS = ["Pass", "WrongSyntax", "WrongImport", "WrongParameter", "WrongLogic"]
+LABELS = ["Pass", "WrongSyntax", "WrongImport", "WrongParam", "WrongLogic"]
 
 
 def verdicts_sql(condition: str = "l_returnflag") -> str:
     """The same frame for DuckDB."""
     return f"""(SELECT task_id, p_brand AS api_name, p_type AS library, p_size AS size, condition, passed,
-      CASE WHEN passed = 1 THEN 'Pass' ELSE ['WrongSyntax','WrongImport','WrongParameter','WrongLogic'][q % 4 + 1] END AS label
+      CASE WHEN passed = 1 THEN 'Pass' ELSE ['WrongSyntax','WrongImport','WrongParam','WrongLogic'][q % 4 + 1] END AS label
       FROM (SELECT l_partkey AS task_id, {condition}::VARCHAR AS condition,
                    max(CASE WHEN l_discount >= 0.09 THEN 1 ELSE 0 END) AS passed, trunc(min(l_quantity))::INT AS q
             FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = task_id)"""

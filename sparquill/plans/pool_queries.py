@@ -40,10 +40,26 @@ def api_diff_modified(spark, sf):
     return diff.modified(_catalogue(spark, sf, False), _catalogue(spark, sf, True)).select("name")
 
 
-@register("relocation_cascade", f"SELECT n.name, coalesce(o.name, '') AS old_name, CASE WHEN o.name IS NOT NULL THEN 'exact' ELSE '' END AS how FROM {_sql(True)} n LEFT JOIN {_sql(False)} o ON split_part(o.name, '.', 2) = split_part(n.name, '.', 2) WHERE n.name NOT IN (SELECT name FROM {_sql(False)})")
+def _versions(spark, sf):
+    """Two catalogues in which each rule of the comparison meets an eighth of the parts."""
+    k = F.col("p_partkey") % 8
+    param = lambda n, d=None: F.struct(F.lit(n).alias("name"), F.lit(d).cast("string").alias("default"), F.lit("k").alias("kind"))
+    doc = F.concat(F.repeat(F.lit("word "), F.lit(20)), F.col("p_partkey").cast("string"))
+    leaf = F.concat(F.lit("f"), F.col("p_partkey"))
+    plain = F.array(param("x"), param("y"))
+    shape = lambda m, p, ps, d: [F.concat(m, F.lit("."), leaf).alias("name"), F.lit("function").alias("kind"), ps.alias("params"), d.alias("doc"), p.alias("path")]
+    p = table(spark, sf, "part").withColumnRenamed("p_partkey", "ord").withColumn("p_partkey", F.col("ord"))
+    old = p.filter(k != 7).select("ord", *shape(F.lit("pkg"), F.lit("a/old.py"), plain, doc))
+    params = F.when(k.isin(0, 3), plain).when(k.isin(4, 6), F.array(param("z"))).otherwise(F.array(param("x"), param("y", "1")))
+    text = F.when(k == 5, F.lit("entirely different text that has more than forty characters")).when(k == 6, F.concat(doc, F.lit("!"))).otherwise(doc)
+    new = p.select("ord", *shape(F.when(k < 3, "pkg").otherwise("moved"), F.when(k < 2, "a/old.py").otherwise("a/new.py"), params, text))
+    return old, new
+
+
+@register("relocation_cascade", "SELECT p_partkey AS ord, k <> 7 AS is_modified, ['same', 'drift', '', 'loose', 'shape', 'fuzzy', 'added'][k] AS how FROM (SELECT p_partkey, p_partkey % 8 AS k FROM part) WHERE k NOT IN (0, 3)")
 def relocation_cascade(spark, sf):
-    old, new = _catalogue(spark, sf, False), _catalogue(spark, sf, True)
-    return diff.relocations(old, diff.added(old, new)).select("name", F.coalesce("old_name", F.lit("")).alias("old_name"), F.coalesce("how", F.lit("")).alias("how"))
+    out = diff.diff_catalogues(*_versions(spark, sf))
+    return out.select(F.substring_index("name", ".f", -1).cast("bigint").alias("ord"), "is_modified", "how")
 
 
 @register("fuzzy_relocation")
@@ -57,7 +73,10 @@ def fuzzy_relocation(spark, sf):
 THIN = "(length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 40)"
 
 
-@register("thin_docs", f"SELECT doc_id FROM documents WHERE {THIN} OR regexp_matches(lower(text), '^\\s*(see |none|todo|helper|internal|abstract)')")
+FIRST = "lower(trim(regexp_replace(split_part(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10), 1), '\\s+', ' ', 'g')))"
+
+
+@register("thin_docs", f"SELECT doc_id FROM documents WHERE {THIN} OR len(list_filter({P.THIN_OPENINGS!r}, lambda p: starts_with({FIRST}, p))) > 0")
 def thin_docs(spark, sf):
     return table(spark, sf, "documents").filter(P.is_thin(F.col("text"))).select("doc_id")
 
@@ -78,11 +97,25 @@ def reject_reasons(spark, sf):
     return d.groupBy(F.coalesce(P.reject_reason(rules), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@register("quality_filters", "SELECT p_partkey FROM part WHERE NOT (p_brand LIKE '%1') AND p_size >= 5 AND p_name NOT LIKE '%red%'")
+RULES = ["private", "deprecated", "type_alias", "undocumented", "thin", "no_source", "plumbing", "vendored", "self_private", "foreign", "internal_module", "pattern_0", "kept"]
+
+
+@register("quality_filters", f"SELECT p_partkey, {RULES!r}[p_partkey % 13 + 1] AS reason FROM part")
 def quality_filters(spark, sf):
-    p = table(spark, sf, "part").withColumn("name", F.concat(F.lit("pkg."), F.when(F.col("p_brand").like("%1"), "_").otherwise(""), "p_brand"))
-    rules = [("private", P.is_private(F.col("name"))), ("small", F.col("p_size") < 5), ("named", F.col("p_name").contains("red"))]
-    return p.filter(P.reject_reason(rules).isNull()).select("p_partkey")
+    p = table(spark, sf, "part").withColumn("k", (F.col("p_partkey") % 13).cast("int"))
+    doc = F.concat(F.lit("Some words on what this does, "), F.col("p_name"), F.lit(" "), F.repeat(F.lit("x"), F.lit(40)))
+    pick = lambda default, **cases: F.coalesce(*[F.when(F.col("k") == int(k[1:]), v) for k, v in cases.items()], F.lit(default) if isinstance(default, str) else default)
+    empty = F.array().cast("array<struct<name:string>>")
+    e = p.select(
+        "p_partkey",
+        pick("pkg.mod.Thing", _0="pkg.mod._Hidden", _7="pandas.io.clipboard.Thing", _10="pkg.base.Thing", _11="pkg.mod.OldThing").alias("name"),
+        pick("class", _2="method").alias("kind"),
+        F.when(F.col("k") == 2, empty).otherwise(F.array(F.struct(F.lit("a").alias("name")))).alias("params"),
+        F.when(F.col("k").isin(2, 3), "").when(F.col("k") == 1, F.concat(doc, F.lit(" Use that INSTEAD. Deprecated."))).when(F.col("k") == 4, F.concat(F.lit("Common base  class for\n all exceptions "), doc)).when(F.col("k") == 8, F.concat(F.lit(" Internal use only. "), doc)).otherwise(doc).alias("doc"),
+        pick("/env/site-packages/pkg/mod.py", _5="/env/site-packages/pkg/mod.SO", _6="/env/site-packages/pkg/_lib/z.py", _9="/env/other/mod.py").alias("path"),
+    )
+    reason = P.reject_reason(P.catalogue_rules("pkg", patterns=["^Old"]))
+    return e.select("p_partkey", F.coalesce(reason, F.lit("kept")).alias("reason"))
 
 
 @register("suffix_cap", "SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY source, lang) AS n, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE n < 5 OR r <= 3")

@@ -34,11 +34,11 @@ def chunk_counts(spark, sf):
 def _scored(spark, sf):
     e = table(spark, sf, "embeddings").withColumnRenamed("embedding", "emb")
     q = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"), "emb", F.lit(0).alias("domain"))
-    c = e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("chunk_id"), "label", "emb", F.lit(0).alias("domain"))
-    return R.scores(F.broadcast(q) if q.count() <= 10_000 else q, c, ["domain"])
+    c = e.select(F.col("vec_id").alias("chunk_id"), "label", "emb", F.lit(0).alias("domain"))
+    return R.scores(F.broadcast(q) if q.count() <= 10_000 else q, c, ["domain"]).filter("query_id <> chunk_id")
 
 
-SCORED = "(SELECT q.vec_id AS query_id, q.label AS q_label, c.vec_id AS chunk_id, c.label, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 9) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0)"
+SCORED = "(SELECT q.vec_id AS query_id, q.label AS q_label, c.vec_id AS chunk_id, c.label, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 9) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 10 = 0 AND c.vec_id <> q.vec_id)"
 
 
 @register("topk_vectors", f"SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM {SCORED}) WHERE rank <= 5")
@@ -54,9 +54,9 @@ def first_hit_rank(spark, sf):
     return R.first_hit(_scored(spark, sf), F.col("label") == F.col("q_label")).withColumn("target_rank", F.coalesce("target_rank", F.lit(-1)))
 
 
-@register("nearest_within_radius", f"SELECT query_id, chunk_id FROM {RANKED} WHERE r = 1 AND sqrt(greatest(0, 2 - 2 * score)) <= 0.9")
+@register("nearest_within_radius", f"SELECT query_id, chunk_id FROM {RANKED} WHERE r = 1 AND sqrt(greatest(0, 2 - 2 * score)) <= 1.3")
 def nearest_within_radius(spark, sf):
-    return R.nearest_within(_scored(spark, sf), 0.9).select("query_id", "chunk_id")
+    return R.nearest_within(_scored(spark, sf), 1.3).select("query_id", "chunk_id")
 
 
 @register("retrieved_context", f"SELECT query_id, string_agg('#' || chunk_id, ' | ' ORDER BY r) AS context FROM {RANKED} WHERE r <= 5 GROUP BY 1")
@@ -93,10 +93,10 @@ def values(rows):
 
 
 CAMEL = ["LinearLayer", "BatchNorm2d", "relu", "HTTPServerTool", "GPUArray", "AbCdEf", ""]
-ERRORS = ["Traceback\nValueError: x\nKeyError: y", "pkg.CustomError: dotted", "NameError: name 'foo' is not defined", "", "warning\nSyntaxError: bad\nnote Error"]
+ERRORS = ["AssertionError: solution did not call target API", "Error404Error: digits", "Traceback\nValueError: x\nKeyError: y", "pkg.CustomError: dotted", "NameError: name 'foo' is not defined", "", "warning\nSyntaxError: bad\nnote Error"]
 REPLIES = ["text {\"a\": 1} tail", "no json", "{\"a\": {\"b\": 2}} and {\"c\": 3}", "```json\n{\"k\": []}\n```"]
 THINK = ["<think>plan</think>answer", "half</think>rest", "plain", "<think>a</think>b<think>c</think>d"]
-DOCS = ["See doi 10.1000/xyz123. and https://a.org/p and 10.1000/xyz123", "arXiv: 2101.00001 [1]", ".. [Smith99] text https://b.org", "nothing"]
+DOCS = ["See doi:10.1000/xyz123. and https://doi.org/10.1000/xyz123 (Smith et al., 2019)", "arXiv:2101.00001v2 [1] and huggingface.co/papers/2101.00001v2", "[Jones 1999] text huggingface.co/papers/1706.03762 https://arxiv.org/abs/2005.14165", "nothing 10.1000/bare"]
 
 
 @register("camel_suffix", f"SELECT id, coalesce(list_filter(regexp_extract_all(s, '[A-Z][a-z]+'), lambda x: length(x) >= 3)[-1], s) AS suffix FROM {values(CAMEL)}")
@@ -104,15 +104,23 @@ def camel_suffix(spark, sf):
     return literal(spark, CAMEL).select("id", X.camel_suffix(F.col("s")).alias("suffix"))
 
 
-@register("exception_type", f"SELECT id, coalesce(regexp_extract_all(s, '(?m)^([A-Z]\\w*(?:Interrupt|Warning|Exception|Error))\\b', 1)[-1], '') AS kind FROM {values(ERRORS)}")
+@register("exception_type", f"SELECT id, coalesce(regexp_extract_all(s, '(?m)^([A-Z][A-Za-z_]*(?:Interrupt|Warning|Exception|Error))\\b', 1)[-1], '') AS kind FROM {values(ERRORS)}")
 def exception_type(spark, sf):
     return literal(spark, ERRORS).select("id", X.exception_type(F.col("s")).alias("kind"))
 
 
-@register("label_rules", f"""SELECT id, CASE WHEN kind IN ('SyntaxError', 'IndentationError') THEN 'WrongSyntax' WHEN kind = 'NameError' AND name = 'foo' THEN 'WrongImport' ELSE 'WrongParameter' END AS label
-FROM (SELECT id, coalesce(regexp_extract_all(s, '(?m)^([A-Z]\\w*(?:Interrupt|Warning|Exception|Error))\\b', 1)[-1], '') AS kind, regexp_extract(s, 'name ''([^'']+)''', 1) AS name FROM {values(ERRORS)})""")
+JUDGED = ['{"class": "W_PARAM", "rationale": "r"}', "prose", '{"class": "W_API", "rationale": "empty stub"}', '{"class": "W_SHAPE_DTYPE"}', '{"class": "W_LOGIC"}', "", '{"class": "odd"}']
+
+
+@register("label_rules", f"""
+SELECT id, CASE WHEN s LIKE '%AssertionError: solution did not call target API%' THEN 'WrongAPISelection' WHEN kind IN ('SyntaxError', 'IndentationError') THEN 'WrongSyntax'
+  WHEN regexp_extract(s, 'NameError: name ''([^'']+)'' is not defined', 1) IN ('foo', 'pkg') THEN CASE WHEN kind = 'NameError' THEN 'WrongImport' ELSE 'WrongAPISelection' END
+  WHEN j LIKE '%W_PARAM%' THEN 'WrongParam' WHEN j LIKE '%W_SHAPE%' THEN 'WrongShapeDtype' WHEN j LIKE '%stub%' THEN 'WrongSyntax' WHEN j LIKE '%W_LOGIC%' OR id % 2 = 0 THEN 'WrongLogic' ELSE 'WrongAPISelection' END AS label
+FROM (SELECT e.id * 10 + j.id AS id, e.s, j.s AS j, coalesce(regexp_extract_all(e.s, '(?m)^([A-Z][A-Za-z_]*(?:Interrupt|Warning|Exception|Error))\\b', 1)[-1], '') AS kind FROM {values(ERRORS)} e, {values(JUDGED).replace("v(id, s)", "j(id, s)")})""".replace("v(id, s) e", "e(id, s)"))
 def label_rules(spark, sf):
-    return literal(spark, ERRORS).select("id", X.label_of(F.col("s"), F.lit("pkg.foo"), F.lit("W_PARAM")).alias("label"))
+    rows = [(10 * i + k, e, "x = foo()" if k % 2 == 0 else "x = 1", j) for i, e in enumerate(ERRORS) for k, j in enumerate(JUDGED)]
+    df = spark.createDataFrame(rows, "id int, s string, code string, raw string")
+    return df.select("id", X.label_of(F.col("s"), F.lit("pkg.foo"), F.col("code"), F.col("raw")).alias("label"))
 
 
 @register("json_outermost", f"SELECT id, coalesce(nullif(regexp_extract(s, '(?s)\\{{.*\\}}'), ''), 'none') AS j FROM {values(REPLIES)}")
@@ -120,19 +128,33 @@ def json_outermost(spark, sf):
     return literal(spark, REPLIES).select("id", F.coalesce(X.outermost_json(F.col("s")), F.lit("none")).alias("j"))
 
 
-@register("strip_thinking", f"SELECT id, CASE WHEN t LIKE '%</think>%' THEN split_part(t, '</think>', -1) ELSE t END AS t FROM (SELECT id, regexp_replace(s, '(?s)<think>.*?</think>', '', 'g') AS t FROM {values(THINK)})")
+@register("strip_thinking", f"SELECT id, trim(CASE WHEN t LIKE '%</think>%' THEN regexp_replace(t, '(?s)^.*?</think>', '') ELSE t END) AS t FROM (SELECT id, regexp_replace(s, '(?s)<think>.*?</think>\\s*', '', 'g') AS t FROM {values(THINK)})")
 def strip_thinking(spark, sf):
     return literal(spark, THINK).select("id", X.strip_thinking(F.col("s")).alias("t"))
 
 
-@register("citations")
+CITED = " || ".join(
+    f"list_transform({found}, lambda x: {{'kind': '{kind}', 'value': x}})"
+    for kind, found in [
+        ("arxiv", r"regexp_extract_all(s, '(?i)(?:arxiv:|arxiv\.org/abs/)(\d{4}\.\d{4,5}(?:v\d+)?)', 1)"),
+        ("arxiv", r"regexp_extract_all(s, '(?i)huggingface\.co/papers/(\d{4}\.\d{4,5}(?:v\d+)?)', 1)"),
+        ("doi", r"list_transform(regexp_extract_all(s, '(?i)(?:doi:|https?://doi\.org/)(10\.\d{4,}/[^\s,)\]>\"'']+)', 1), lambda v: rtrim(v, '.'))"),
+        ("author_year", r"regexp_extract_all(s, '[\[(]([A-Z][a-zA-Z\-]+(?: et al\.?)?,?\s*\d{4})[\])]', 1)"),
+    ]
+)
+
+
+@register("citations", f"""
+SELECT id, (i - 1)::INT AS pos, c[i].kind AS kind, c[i].value AS value FROM (SELECT id, c, unnest(range(1, len(c) + 1)) AS i FROM (
+  SELECT id, list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: y.value), x.value) = i) AS c FROM (SELECT id, {CITED} AS e FROM {values(DOCS)})))
+""")
 def citations(spark, sf):
     return literal(spark, DOCS).select("id", F.posexplode(X.citations(F.col("s"))).alias("pos", "c")).select("id", "pos", "c.kind", "c.value")
 
 
-@register("json_fields", "SELECT event_id, json_extract_string(props, '$.page') AS page FROM events WHERE json_extract_string(props, '$.page') IS NOT NULL")
+@register("json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS page FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_fields(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.page").alias("page")).filter("page is not null")
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("page")).filter("page is not null")
 
 
 @register("render_knowledge", "SELECT p_partkey, concat_ws(chr(10) || chr(10), CASE WHEN p_size % 2 = 0 THEN p_name END, CASE WHEN p_size > 10 THEN p_brand END, p_type) AS text FROM part")
@@ -146,10 +168,10 @@ def stable_ids(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.task_id(F.col("source"), F.col("lang"), F.col("text")).alias("task_id"))
 
 
-@register("build_prompt", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'Reference:' || chr(10) || p_name || chr(10) || chr(10) ELSE '' END || 'Task:' || chr(10) || p_brand || chr(10) || chr(10) || 'Context:' || chr(10) || p_type AS prompt FROM part")
+@register("build_prompt", "SELECT p_partkey, CASE WHEN p_size > 25 THEN '# Reference Documentation:' || chr(10) || p_name || chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END || p_type || chr(10) || chr(10) || '# Task:' || chr(10) || p_brand || chr(10) || chr(10) || '# Go' AS prompt FROM part")
 def build_prompt(spark, sf):
     p = table(spark, sf, "part")
-    return p.select("p_partkey", X.build_prompt(F.col("p_brand"), F.col("p_type"), F.when(F.col("p_size") > 25, F.col("p_name"))).alias("prompt"))
+    return p.select("p_partkey", X.build_prompt(F.col("p_brand"), F.col("p_type"), F.when(F.col("p_size") > 25, F.col("p_name")), "# Go").alias("prompt"))
 
 
 @register("stderr_tail", "SELECT doc_id, right(regexp_replace(left(text, 4096), '^\\s+|\\s+$', '', 'g'), 500) AS tail FROM documents")
@@ -194,13 +216,25 @@ def timestamp_formats(spark, sf):
 
 
 @register("name_changes", """
-SELECT user_id, array_to_string(list_concat(list_transform(list_sort(list_filter(n, lambda x: NOT list_contains(o, x))), lambda x: '+' || x), list_transform(list_sort(list_filter(o, lambda x: NOT list_contains(n, x))), lambda x: '-' || x)), chr(10)) AS changes
-FROM (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (event_id % 9 = 0), []) AS o, coalesce(list(DISTINCT event_type) FILTER (event_id % 9 = 1), []) AS n FROM events GROUP BY 1)
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '- Old signature: (' || p_size || ')' || chr(10) || '- New signature: new' || chr(10) || '- (Exact change not determined — tasks should test new parameter behaviour)'
+  WHEN 1 THEN '- New parameters added: c, d' WHEN 2 THEN '- Parameters removed: b' ELSE '- New parameters added: c' || chr(10) || '- Parameters removed: b' || chr(10) || '- Parameter ' || chr(39) || 'a' || chr(39) || ' default changed: ' || chr(39) || p_size || chr(39) || ' → None' END AS changes FROM part
 """)
 def name_changes(spark, sf):
-    part = lambda k: F.collect_set(F.when(F.col("event_id") % 9 == k, F.col("event_type")))
-    sets = table(spark, sf, "events").groupBy("user_id").agg(part(0).alias("o"), part(1).alias("n"))
-    return sets.select("user_id", X.name_changes(F.col("o"), F.col("n")).alias("changes"))
+    param = lambda n, d: F.struct(F.lit(n).alias("name"), d.cast("string").alias("default"))
+    k, size, none = F.col("p_partkey") % 4, F.col("p_size"), F.lit(None)
+    old = F.array(param("self", none), param("a", size), param("b", none))
+    new = F.when(k == 0, old).when(k == 1, F.concat(old, F.array(param("d", none), param("c", none)))).when(k == 2, F.slice(old, 1, 2)).otherwise(F.array(param("a", none), param("c", none)))
+    signature = F.concat(F.lit("("), size, F.lit(")"))
+    return table(spark, sf, "part").select("p_partkey", X.summarise_changes(signature, old, F.lit("new"), new).alias("changes"))
+
+
+@register("leaf_variants", """
+SELECT p_partkey, array_to_string(list_sort(list_distinct([w, b, replace(lower(w), '_', '')] || list_transform(['s', 'ed', 'ing', 'er'], lambda e: w || e) || list_transform(['s', 'ed', 'ing', 'er'], lambda e: b || e))), ',') AS variants
+FROM (SELECT p_partkey, w, lower(replace(w, '_', ' ')) AS b FROM (SELECT p_partkey, replace(p_name, ' ', '_') || '_X' AS w FROM part))
+""")
+def leaf_variants(spark, sf):
+    name = F.concat(F.lit("pkg."), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_X"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(X.leaf_variants(name), ",").alias("variants"))
 
 
 @register("chat_rows", "SELECT conv_id, count(*)::BIGINT AS n, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
@@ -218,16 +252,20 @@ def shared_path_prefix(spark, sf):
     return p.join(nxt, "page_id").select("page_id", X.shared_prefix(F.col("p"), F.col("q")).alias("shared"))
 
 
-@register("grounding_rule", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'paper' WHEN len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(#|$)'))) >= 4 AND n_chars < 4000 THEN 'source' ELSE 'docstring' END AS grounding FROM documents")
+@register("grounding_rule", """
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'paper' WHEN doc_id % 3 = 0 AND n > 50 THEN 'source'
+  WHEN doc_id % 3 = 1 AND n >= 200 AND len(list_filter(string_split_regex(text, '\\r?\\n'), lambda x: NOT regexp_matches(x, '^\\s*(#|$)'))) >= 10 THEN 'source' ELSE 'docstring' END AS grounding
+FROM (SELECT *, doc_id % 7 * 100 AS n FROM documents)
+""")
 def grounding_rule(spark, sf):
-    d = table(spark, sf, "documents")
-    cited = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
-    doc = F.when(F.col("n_chars") < 4000, "").otherwise(F.repeat(F.lit("x"), F.lit(500)))
-    return d.select("doc_id", X.grounding(cited, doc, F.col("text"), long_code=4).alias("grounding"))
+    i = F.col("doc_id")
+    doc = F.when(i % 5 == 0, F.lit("as in arXiv:2101.00001")).otherwise(F.repeat(F.lit("x"), (i % 7 * 100).cast("int")))
+    role = X.api_role(F.when(i % 3 == 0, "function").otherwise("class"), F.when(i % 3 == 1, "odd").otherwise("enum"))
+    return table(spark, sf, "documents").select("doc_id", X.grounding(doc, role, F.lit("a.py"), F.col("text")).alias("grounding"))
 
 
-@register("resampling_seed_order", "SELECT p_brand, string_agg(p_partkey::VARCHAR, ',' ORDER BY md5('7:' || p_partkey), p_partkey) AS shuffled FROM part WHERE p_size <= 5 GROUP BY 1")
+@register("resampling_seed_order", "SELECT p_brand, string_agg(p_partkey::VARCHAR, ',' ORDER BY md5('7:' || p_partkey), p_partkey) AS shuffled FROM part GROUP BY 1")
 def resampling_seed_order(spark, sf):
-    p = table(spark, sf, "part").filter("p_size <= 5")
+    p = table(spark, sf, "part")
     ordered = F.array_sort(F.collect_list(F.struct(F.md5(F.concat(F.lit("7:"), "p_partkey")).alias("h"), F.col("p_partkey").alias("k"))))
     return p.groupBy("p_brand").agg(F.array_join(F.transform(ordered, lambda x: x["k"].cast("string")), ",").alias("shuffled"))

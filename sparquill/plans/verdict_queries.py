@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import stats
+from ..operators import diff, stats
 from ..operators import verdicts as V
 from .base import CONDITIONS, LABELS, SIX, table, verdicts, verdicts_sql
 from .registry import register
@@ -159,9 +159,57 @@ def fix_groups(spark, sf):
     return _failed(spark, sf).groupBy(group.alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.sum("fixed").alias("fixed"))
 
 
-@register("bypass_counts", f"SELECT library, condition, {', '.join(f'count(*) FILTER (label = {m!r})::BIGINT AS {m.lower()}' for m in LABELS[1:])} FROM {verdicts_sql()} GROUP BY 1, 2")
+BYPASS = f"SELECT * EXCLUDE (label), CASE WHEN condition = 'A' THEN 'base' ELSE 'sft' END AS method, CASE WHEN passed = 1 THEN 'Pass' WHEN label = 'WrongSyntax' THEN label ELSE 'WrongAPISelection' END AS label FROM {verdicts_sql()} WHERE condition IN ('A', 'N')"
+
+
+@register("bypass_counts", f"""
+SELECT method, count(*)::BIGINT AS n_tasks, count(m)::BIGINT AS n_selection_failures, {", ".join(f"count(*) FILTER (m = '{m}')::BIGINT AS {m}" for m in ("reimplemented", "same_name_reimpl", "referenced_not_invoked", "empty"))}, round(100 * avg((coalesce(m, '') IN ('reimplemented', 'same_name_reimpl'))::INT), 6) AS bypass_pct
+FROM (SELECT *, CASE WHEN label = 'WrongAPISelection' AND size % 5 > 0 THEN ['empty', 'same_name_reimpl', 'reimplemented', 'referenced_not_invoked'][size % 4 + 1] END AS m, count(*) OVER (PARTITION BY task_id) AS k FROM ({BYPASS})) WHERE k = 2 GROUP BY 1
+""")
 def bypass_counts(spark, sf):
-    return verdicts(spark, sf).groupBy("library", "condition").agg(*[F.count_if(F.col("label") == m).alias(m.lower()) for m in LABELS[1:]])
+    v = verdicts(spark, sf).filter(F.col("condition").isin("A", "N"))
+    v = v.withColumn("method", F.when(F.col("condition") == "A", "base").otherwise("sft")).withColumn("condition", F.lit("Full"))
+    v = v.withColumn("label", F.when(F.col("passed") == 1, "Pass").when(F.col("label") == "WrongSyntax", F.col("label")).otherwise("WrongAPISelection"))
+    v = v.withColumn("call_check_failed", (F.col("size") % 5 == 0).cast("int")).withColumn("api_name", F.concat(F.lit("p."), F.replace("api_name", F.lit("#"), F.lit("_"))))
+    leaf = F.substring_index("api_name", ".", -1)
+    code = F.element_at(F.array(F.lit(" x=1 "), F.concat(F.lit("def "), leaf, F.lit("():\n  pass")), F.lit("other(1, 2)"), F.concat(leaf, F.lit(" = 1"))), F.col("size") % 4 + 1)
+    out = stats.bypass_table(v.withColumn("code", code), ("base", "Full"))
+    return out.select("method", "n_tasks", "n_selection_failures", "reimplemented", "same_name_reimpl", "referenced_not_invoked", "empty", R("bypass_pct").alias("bypass_pct"))
+
+
+@register("shared_hit_tasks", f"SELECT task_id FROM {verdicts_sql()} WHERE passed = 1 GROUP BY 1 HAVING count(DISTINCT condition) = 3")
+def shared_hit_tasks(spark, sf):
+    return V.shared_by_all(verdicts(spark, sf).withColumnRenamed("passed", "hit5"), CONDITIONS)
+
+
+@register("condition_intervals")
+def condition_intervals(spark, sf):
+    return stats.condition_intervals(verdicts(spark, sf), CONDITIONS, "A")
+
+
+@register("failure_intervals")
+def failure_intervals(spark, sf):
+    return stats.failure_intervals(verdicts(spark, sf), CONDITIONS, LABELS)
+
+
+@register("novelty_intervals")
+def novelty_intervals(spark, sf):
+    v = verdicts(spark, sf)
+    entries = v.select("api_name", (F.crc32(F.col("api_name").cast("binary")) % 2 == 0).alias("is_modified")).distinct()
+    return stats.novelty_intervals(diff.novelty_of(v, entries), CONDITIONS)
+
+
+@register("arm_intervals")
+def arm_intervals(spark, sf):
+    api = table(spark, sf, "part").select(F.col("p_partkey").alias("task_id"), F.col("p_brand").alias("api_name"), F.col("p_partkey").alias("ord"))
+    return stats.arm_intervals(V.paired(_arm(spark, sf, "F"), _arm(spark, sf, "O"), ["condition", "task_id"]).join(api, "task_id"))
+
+
+@register("cross_backbone")
+def cross_backbone(spark, sf):
+    v = verdicts(spark, sf)
+    two = v.withColumn("model", F.lit("m0")).unionByName(v.filter("size > 10").withColumn("passed", 1 - F.col("passed")).withColumn("model", F.lit("m1")))
+    return stats.cross_backbone(two, ["m0", "m1"], CONDITIONS, "A")
 
 
 @register("method_headline", f"""

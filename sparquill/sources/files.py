@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def with_order(df: DataFrame, name: str = "ord") -> DataFrame:
-    """Dense row numbers in file order, counted by partition: no shuffle, no single task."""
-    kind = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(kind)
+    """Dense row numbers in the order of a scan's partitions, from their counts (one number a partition
+    on the driver): no shuffle, no single task. Meant for scans, whose partitions come out alike each time."""
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r[0]: r[1] for r in df.groupBy(part.alias("p")).count().collect()}
+    starts, seen = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        starts.append(seen)
+        seen += counts.get(p, 0)
+    texts = ",".join(map(str, starts or [0]))
+    return df.withColumn(name, F.get(F.split(F.lit(texts), ",").cast("array<bigint>"), part) + place)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -36,6 +42,55 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode(F.from_json("value", "entries map<string,string>")["entries"]).alias("name", "entry"))
 
 
+def first_present(spark: SparkSession, *paths: str) -> str:
+    """The first path that exists: a released file before a built one. None is an error."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+            return path
+    raise FileNotFoundError(", ".join(paths))
+
+
+def freeze_pool(candidates: DataFrame, membership: DataFrame, families: list[str], path: str) -> dict:
+    """Write a pool: candidates (name, library, ...) as JSON lines sorted by name with portable paths,
+    memberships (name, family, kind) as a wide CSV sorted by name, and a manifest with counts and
+    digests, last. Returns the manifest."""
+    import json
+
+    from ..functions.text import portable
+    from ..operators.setops import membership as wide
+
+    spark = candidates.sparkSession
+    rows = portable(candidates).orderBy("name")
+    rows.write.mode("overwrite").json(f"{path}/candidates")
+    table = candidates.select("name", "library").join(wide(membership, "name", "family", families, "kind"), "name").orderBy("name")
+    write_csv(table, f"{path}/membership")
+    counts = {r["library"]: r["n"] for r in candidates.groupBy("library").agg(F.count("*").alias("n")).orderBy("library").collect()}
+    files = checksums(spark, f"{path}/candidates/*.json").orderBy("path").collect()
+    manifest = {"n_candidates": sum(counts.values()), "per_library": counts, "families": families, "sha256": {r["path"].rsplit("/", 1)[-1]: r["sha256"] for r in files}}
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return manifest
+
+
+def write_hits(hits: DataFrame, path: str) -> None:
+    """Retrieval hits as one CSV of fixed columns, sorted by task and condition."""
+    write_csv(hits.select("task_id", "condition", "target_rank", "hit5").orderBy("task_id", "condition"), path)
+
+
+def write_exclusions(reasons: DataFrame, path: str) -> None:
+    """(task_id, reason) as one tab-separated file without a header, sorted by task."""
+    reasons.select("task_id", "reason").orderBy("task_id").coalesce(1).write.mode("overwrite").option("sep", "\t").csv(path)
+
+
+def verdict_rows(records: DataFrame, message: str) -> DataFrame:
+    """Result records as verdict rows: an empty label becomes Pass or Unlabelled, passed 0 or 1, and
+    whether a failure is the call check's, by its message."""
+    passed = F.coalesce(F.col("passed").cast("boolean"), F.lit(False))
+    label = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.when(passed, "Pass").otherwise("Unlabelled"))
+    failed = ~passed & F.contains(F.coalesce("error", F.lit("")), F.lit(message))
+    return records.select("task_id", "api_name", "library", "domain", "difficulty", passed.cast("int").alias("passed"), label.alias("label"), failed.cast("int").alias("call_check_failed"), "pass_at_5")
+
+
 def read_runs(spark: SparkSession, pattern: str, schema: str, experiments: list[str]) -> DataFrame:
     """Result files of <run>/<cell>/ folders, with run and cell from the path; unknown runs are left out."""
     df = spark.read.schema(schema).json(pattern).withColumn("__p", F.split(F.col("_metadata.file_path"), "/"))

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparquill.functions import code as C
@@ -92,21 +93,117 @@ def test_signature_changed(spark):
 
 
 def test_errors_and_bypass(spark):
-    assert column(spark, X.exception_type(F.col("s")), "ValueError: a\nKeyError: b", "pkg.MyError: c", "") == ["KeyError", "", ""]
+    assert column(spark, X.exception_type(F.col("s")), "ValueError: a\nKeyError: b", "pkg.MyError: c", "", "My2Error: x") == ["KeyError", "", "", ""]
     assert column(spark, X.stderr_tail(F.col("s")), "a" * 5000 + "\nKeyError") == ["a" * 500]
     codes = ["x=1", "def run():\n  pass", "other(1, 2)", "run = 1; run"]
     assert column(spark, X.bypass_mode(F.col("s"), F.lit("p.run")), *codes) == ["empty", "same_name_reimpl", "reimplemented", "referenced_not_invoked"]
 
 
 def test_citations(spark):
-    got = column(spark, X.citations(F.col("s")), "10.1000/xyz. arXiv: 2101.00001 10.1000/xyz https://a.org")[0]
-    assert [(x["kind"], x["value"]) for x in got] == [("doi", "10.1000/xyz"), ("arxiv", "2101.00001"), ("url", "https://a.org")]
+    text = "doi:10.1000/xyz. arXiv:2101.00001v2, https://doi.org/10.1000/xyz huggingface.co/papers/2101.00001v2 [Smith et al., 2019] 10.1000/bare arxiv.org/abs/1706.03762"
+    got = column(spark, X.citations(F.col("s")), text, "none", None)
+    assert [(x["kind"], x["value"]) for x in got[0]] == [("arxiv", "2101.00001v2"), ("arxiv", "1706.03762"), ("doi", "10.1000/xyz"), ("author_year", "Smith et al., 2019")]
+    assert got[1] == got[2] == []
 
 
 def test_predicates(spark):
-    assert column(spark, P.is_thin(F.col("s")), "short", "See   other " + "x" * 60, "y" * 60) == [True, True, False]
-    assert column(spark, P.is_foreign(F.col("s"), "pkg"), "a\\pkg\\m.py", "a/other.py") == [False, True]
+    long = "y" * 60
+    assert column(spark, P.is_thin(F.col("s")), "short", "See   other " + long, "TODO  " + long, "abstract\n base  class for " + long, None, f"x {long}\n\ntodo") == [True, False, True, True, True, False]
+    assert column(spark, P.is_thin(F.col("s")), "Abstract base\n  class for " + long) == [True]
+    assert column(spark, P.is_deprecated(F.col("s")), "will be removed in version 3", "Use x.y instead.", "undeprecated", "Deprecated.", "use\nx instead", None) == [True, True, False, True, False, False]
+    assert column(spark, P.is_self_private(F.col("s")), " Internal use only", "internally", "PRIVATE: x", None) == [True, False, True, False]
+    assert column(spark, P.is_foreign(F.col("s"), "pkg"), "a\\pkg\\m.py", "a/other.py", None) == [False, True, False]
+    assert column(spark, P.is_foreign(F.col("s"), ""), "a/other.py") == [False]
     assert column(spark, P.has_no_source(F.col("s")), None, "a.SO", "a.py") == [True, True, False]
+    assert column(spark, P.is_vendored(F.col("s")), "pandas.io.clipboard.f", "pandas.io.clipboards") == [True, False]
+    paths = ["/e/site-packages/pkg/_lib/z.py", "/e/pkg/_lib/z.py", "/e/site-packages/pkg/_lib.py", "/e/site-packages/_utils/sub/z.py", None]
+    assert column(spark, P.is_plumbing(F.col("s"), F.lit("pkg.sub.f")), *paths) == [True, False, False, False, False]
+    assert column(spark, P.is_plumbing(F.col("s"), F.lit("pkg._x.f")), paths[0]) == [False]
+    kinds = spark.createDataFrame([("method", 0, None, "a.f"), ("method", 0, " ", "a.f"), ("class", 1, "d", "a.Dict"), ("function", 0, "", "a.f"), ("function", 1, "", "a.Dict")], "kind string, n int, doc string, name string")
+    assert [r[0] for r in kinds.select(P.is_type_alias(F.col("kind"), F.col("n"), F.col("doc"), F.col("name"))).collect()] == [True, False, True, True, False]
+
+
+def test_task_and_example_rules(spark):
+    difficulties = ["easy"]
+    rows = [("hard", "d", "Foo()", ""), ("easy", " ", "Foo()", ""), ("easy", "use foo", "Foo()", ""), ("easy", "d", "bar()", ""), ("easy", "d", "bar()", "a.Foo"), ("easy", "d", "Foo()", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, level string, told string, solved string, masked string").orderBy("id")
+    why = P.task_reject_reason(F.lit("a.Foo"), F.col("level"), F.col("told"), F.col("solved"), F.col("masked"), difficulties)
+    assert [r[0] for r in df.select(why).collect()] == ["difficulty", "empty", "names_api", "unused_api", None, None]
+    runs = spark.createDataFrame([(True, False, "", ""), (False, True, "", ""), (False, False, "no CUDA device", ""), (False, False, "", "odd"), (False, False, None, None)], "p boolean, t boolean, e string, o string")
+    assert [r[0] for r in runs.select(P.example_status(F.col("p"), F.col("t"), F.col("e"), F.col("o"), ["CUDA"], ["odd"])).collect()] == ["executed", "static", "static", "static", "failed"]
+    samples = spark.createDataFrame([([True, None],), ([False, None, None],), ([],)], "s array<boolean>")
+    assert [tuple(r) for r in samples.select(*P.recheck(F.col("s"))).collect()] == [(True, 1), (False, 2), (False, 0)]
+    classes = spark.createDataFrame([("class", "a.ModeEnum", "x", "(self, *args, **kwds)", 0, 0), ("class", "a.Other", "str(object)", "(self, /, *args, **kwargs)", 0, 0), ("class", "a.Other", "x", "(self, *args, **kwds)", 0, 0), (None, "a.ModeEnum", "x", "", 0, 0), ("class", "a.ModeEnum", "x", "(self, *args, **kwds)", 1, 0)], "k string, n string, d string, s string, p int, e int")
+    assert [r[0] for r in classes.select(P.is_supported(*map(F.col, "kndspe"))).collect()] == [False, False, True, True, True]
+
+
+def test_defaults_and_quality(spark):
+    values = ["<x at 0x7f00aa11>", "/e/lib/python3.9/site-packages/p/d.txt", "/usr/bin/python3.11", "/scratch/job-12/x", "/var/tmp/abc", "plain 0x12", None]
+    assert column(spark, X.normalize_default(F.col("s")), *values) == ["<x at 0xADDR>", "<ENVPATH>", "<ENVPATH>", "<ENVPATH>", "<ENVPATH>", "plain 0x12", None]
+    rows = spark.createDataFrame([("abcd", [("self",), ("a",), ("b",)]), ("abcd", [("args",)]), (None, [("a",)])], "d string, p array<struct<name:string>>")
+    assert [r[0] for r in rows.select(P.quality_score(F.col("d"), F.col("p"))).collect()] == [8.0, 4.0, 0.0]
+
+
+def test_labels(spark):
+    err = ["AssertionError: Solution did not call target API x", "x\nIndentationError: y", "NameError: name 'pkg' is not defined", "NameError: name 'foo' is not defined\nValueError: z", "KeyError: k"]
+    label = lambda code, raw: X.label_of(F.col("s"), F.lit("pkg.foo"), F.lit(code), F.lit(raw))
+    assert column(spark, label("foo()", "nonsense"), *err) == ["WrongAPISelection", "WrongSyntax", "WrongImport", "WrongAPISelection", "WrongLogic"]
+    assert column(spark, label("x()", "nonsense"), err[4]) == ["WrongAPISelection"]
+    for raw, code, stderr, want in [
+        ('a {"class": "W_PARAM", "rationale": "r"} b', "foo()", "", "WrongParam"), ('{"class": "W_SHAPE_DTYPE"}', "foo()", "", "WrongShapeDtype"), ('{"class": "W_API", "rationale": "pass-only body"}', "foo()", "", "WrongSyntax"),
+        ('{"class": "W_API"}', "foo()", "ImportError: x", "WrongImport"), ('{"class": "W_API"}', "x()", "ImportError: x", "WrongAPISelection"), ('{"class": "W_API", "rationale": "FOO missing"}', "x()", "ImportError: x", "WrongImport"),
+        ('{"class": "W_API"}', "foo()", "AssertionError: x", "WrongAPISelection"), ('{"class": "W_API"}', "foo()", "TypeError: x", "WrongImport"), ('{"class": "W_API"}', "x()", "TypeError: x", "WrongAPISelection"),
+    ]:
+        assert column(spark, label(code, raw), stderr) == [want], raw
+    late = X.label_of(F.col("s"), F.lit("pkg.foo"), F.lit("foo()"), F.lit("{}"), F.lit(True))
+    assert column(spark, late, "SyntaxError: x") == ["WrongLogic"]
+
+
+def test_grounding(spark):
+    rows = [("see arXiv:2101.00001", "enum", "a.py", ""), ("x" * 51, "function", "a.py", ""), ("x" * 50, "function", "a.py", ""), ("x" * 600, "function", None, ""), ("x" * 200, "plain_class", "a.py", "a\n# b\n" * 10), ("x" * 199, "plain_class", "a.py", "a\n" * 20), ("x" * 600, "dataclass", "a.py", "a\n" * 20)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, d string, r string, p string, c string").orderBy("id")
+    assert [r[0] for r in df.select(X.grounding(*map(F.col, "drpc"))).collect()] == ["paper", "source", "docstring", "docstring", "source", "docstring", "docstring"]
+    assert column(spark, X.opens_with_stock_phrase(F.col("s")), "\n This Function does", "A function", "this module x", "the module x") == [True, False, True, False]
+
+
+def test_layers_and_lines(spark):
+    rows = [["basic_1", "edge_1", "changed_input_1", "basic_2"], ["basic_1", "basic_2"], ["edge_1", "x"], ["x"], []]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, n array<string>").orderBy("id")
+    got = [tuple(r[0]) for r in df.select(X.pick_layers(F.col("n"))).collect()]
+    assert got == [("basic_1", ["basic_1", "changed_input_1"], "edge_1"), ("basic_1", ["basic_1", "basic_2"], "basic_2"), ("edge_1", ["edge_1", "x"], "edge_1"), ("x", [], None), (None, [], None)]
+    params = spark.createDataFrame([([("a", "int", "1", "d" * 200), ("b", None, None, "")],)], "p array<struct<name:string,type:string,default:string,description:string>>")
+    assert params.select(X.parameter_lines(F.col("p")), X.signature_text(F.col("p"))).first()[:] == ("- a: int = 1 — " + "d" * 160 + "\n- b", "(a: int = 1, b)")
+    assert column(spark, X.clean_annotation(F.col("s")), "<class 'a.b.C'>", "list[int]", "") == ["C", "list[int]", None]
+    assert column(spark, X.return_type(F.col("s"), F.lit(None).cast("string"), F.lit("class"), F.lit("a.B")), "N/A", " int ") == ["a.B", "int"]
+    assert column(spark, X.unwrap_solution(F.col("s")), "def solution():\n  x", "y\ndef solution():\n  x", "z") == ["  x", "\n  x", "z"]
+    assert column(spark, X.mentions(F.col("s"), F.lit("a.longer")), "the longer one", "a.longer", "long") == [True, True, False]
+    deep = spark.createDataFrame([("/x/lib/python3.9/site-packages/p.py", [("/y/lib/python3.12/site-packages/q", 1)])], "a string, b array<struct<p:string,n:int>>")
+    assert X.portable(deep).first()[:] == ("<site-packages>/p.py", [("<site-packages>/q", 1)])
+
+
+def test_intervals(spark):
+    rng = np.random.default_rng(5)
+    rows = [(t, f"api{t % 7}", c, int(rng.random() < p), t) for t in range(60) for c, p in (("A", 0.3), ("B", 0.6))]
+    frame = spark.createDataFrame(rows, "task_id int, api_name string, condition string, passed int, ord int")
+    out = {r["condition"]: r for r in stats.condition_intervals(frame, ["A", "B"], "A").collect()}
+    value = {(t, c): p for t, _, c, p, _ in rows}
+    sums = lambda f: (np.array([sum(f(t) for t in range(60) if t % 7 == k) for k in range(7)], float), np.array([sum(t % 7 == k for t in range(60)) for k in range(7)], float))
+    for c in "AB":
+        assert np.allclose([out[c]["pass1"], out[c]["pass1_lo"], out[c]["pass1_hi"]], 100 * np.array(stats.bca(*sums(lambda t: value[t, c]))))  # noqa: B023
+    assert np.allclose([out["B"]["delta_pct"], out["B"]["delta_pct_lo"], out["B"]["delta_pct_hi"]], 100 * np.array(stats.bca(*sums(lambda t: value[t, "B"] - value[t, "A"]))))
+    assert out["A"]["delta_pct"] is None
+    pairs = frame.groupBy("task_id", "api_name", "ord").agg(F.max(F.when(F.col("condition") == "A", F.col("passed"))).alias("passed_a"), F.max(F.when(F.col("condition") == "B", F.col("passed"))).alias("passed_b")).withColumn("condition", F.lit("x"))
+    arm = stats.arm_intervals(pairs).first()
+    assert np.isclose(arm["change"], out["B"]["delta_pct"]) and np.isclose(arm["change_lo"], out["B"]["delta_pct_lo"]) and arm["p_holm"] == arm["p"]
+    models = frame.withColumn("model", F.lit("m")).unionByName(frame.filter("task_id < 30").withColumn("model", F.lit("n")))
+    assert {r["n_tasks"] for r in stats.cross_backbone(models, ["m", "n"], ["A", "B"], "A").collect()} == {30}
+
+
+def test_novelty_raises_on_unknown_apis(spark):
+    frame, known = spark.createDataFrame([("a",), ("b",)], "api_name string"), spark.createDataFrame([("a", True)], "api_name string, is_modified boolean")
+    assert diff.novelty_of(frame.filter("api_name = 'a'"), known).first()["is_modified"]
+    with pytest.raises(Exception, match="unknown API: b"):
+        diff.novelty_of(frame, known).collect()
 
 
 def test_mmr_and_cap(spark):
@@ -147,22 +244,43 @@ def test_fuzzy(spark):
 def test_records():
     assert records.match(1.0, 1) and not records.match(1, 1.0) and not records.match(1, True)
     assert records.match({"a": 1.0}, {"a": 1.0 + 1e-7, "b": 2}) and not records.match([1], [1, 2])
-    assert records.stable({"v": 1, "t": 2}, {"v": 1, "t": 3}) == {"v": 1}
+    assert records.stable({"v": 1, "t": 2}, {"v": 1, "t": 3}) == {"v": 1} and records.stable({"t": 2}, {"t": 3}) == {}
+    assert records.stable([1, 2], [1, 3]) == [1, {}] and records.stable([1], [1, 2]) is None and records.stable(1.0, 1) == 1.0
+
+
+def test_expected_records_choose_what_to_compare():
+    call = lambda kind, ret, **args: {"kind": kind, "ret": ret, "args": args}
+    f = call("call", {"v": 1}, a=2)
+    assert records.expected_of([[f, f], [f, f]]) == ([{"kind": "call", "ret": {"v": 1}}], "ok")
+    assert records.expected_of([[call("call", {"type": "x"}, a=1, b=2)], [call("call", {"type": "x"}, a=1, b=3)]]) == ([{"kind": "call", "args": {"a": 1}}], "ok")
+    assert records.expected_of([[call("init", {"v": 1}, a=1)]]) == ([{"kind": "init", "args": {"a": 1}}], "ok")
+    assert records.expected_of([[call("subclass", {"v": 1})]]) == ([{"kind": "subclass"}], "ok")
+    assert records.expected_of([[call("call", {}, a=1, b=2, __explicit__=["b"])]]) == ([{"kind": "call", "args": {"b": 2}}], "ok")
+    assert records.expected_of([[call("call", {"v": 1}), call("call", {"v": 2})], [call("call", {"v": 2})]]) == ([{"kind": "call", "args": {}}, {"kind": "call", "ret": {"v": 2}}], "unstable")
+    assert records.expected_of([[], [f]]) == ([], "no_calls")
 
 
 def test_expected_records(spark):
-    rows = [("a", 0, '[{"v": 1, "t": 5}]'), ("a", 1, '[{"v": 1, "t": 6}]'), ("b", 0, "[]"), ("c", 0, '[{"v": 1}, {"v": 2}]'), ("c", 1, '[{"v": 2}]')]
+    rows = [("a", 0, '[{"kind": "call", "ret": {"v": 1, "t": 5}}]'), ("a", 1, '[{"kind": "call", "ret": {"v": 1, "t": 6}}]'), ("b", 0, "[]")]
     out = {r["task_id"]: (json.loads(r["expected"]), r["status"]) for r in records.expected_records(spark.createDataFrame(rows, "task_id string, run int, calls string")).collect()}
-    assert out == {"a": ([{"v": 1}], "ok"), "b": ([], "no_calls"), "c": ([{"v": 2}], "unstable")}
+    assert out == {"a": ([{"kind": "call", "ret": {"v": 1}}], "ok"), "b": ([], "no_calls")}
 
 
 def test_code():
     assert C.extract_code("```python\nx = 1\n```") == "x = 1"
-    assert C.extract_code("<think>a</think>```\ndef solution():\n    return 1\n```") == "return 1"
-    assert C.extract_code("Here it is:\nx = f(1)") == "x = f(1)"
+    assert C.extract_code("<think>a</think>```\ndef solution():\n    return 1\n```") == "    return 1"
+    assert C.extract_code("Here it is:\nx = f(1)") == "" and C.extract_code("x = f(1)") == "x = f(1)"
+    assert C.extract_code("```python\nbroken(\n```\n```\nlonger = 1\n```\n```bash\nls\n```") == "longer = 1"
+    assert C.extract_code("```python\nx = 1\ny = 2") == "x = 1\ny = 2" and C.extract_code("```\nreasoning prose here\n```python\nz = 3\n```") == "z = 3"
+    assert C.extract_code("a = 1\n```python\nlonger = 22") == "longer = 22" and C.extract_code("prose only.\n# Complete the following code (x):\nq = 1") == "q = 1"
     assert C.unseed("np.random.seed(3)") == "np.random.seed(None)"
-    assert C.parameters("(a, b=2, *, c=None)") == ["a", "b=2", "c=None"]
+    assert C.parameters("(a, b=2, *, c=None)") == ["a", "b=2", "c=None"] and C.described_parameters("(a: 'T' = 1)") == [("a", "1", "T")]
     assert C.first_call("m.f(1, k=2)", "f") == "m.f(1, k=2)"
+    assert C.api_call("g(1)\nm.f(1, k=2, **z)", "x.f") == ("f", {"k": "2"}) and C.api_call("g(k=1)", "x.f") == ("g", {}) and C.api_call("x", "x.f") == (None, {})
+    assert C.refers_to("from a import f", "b.f") and not C.refers_to("g.h", "b.f") and C.first_unresolved("import os, zz.y", {"os"}) == "zz.y"
+    assert C.reference_call("m.f(1)", "x.f") == "m.f(1)" and C.reference_call("x =", "x.f") == "<unparseable>" and C.reference_call("y", "x.f") == "f(...)"
+    assert C.documented_return_type("Returns\n-------\nout : ndarray\n    x") == "ndarray" and C.documented_return_type(":rtype: int") == "int" and C.documented_return_type("x") == ""
+    assert C.percent_interval(0.0025, 0.5, 1) == "0.2 [50.0, 100.0]"
 
 
 def test_sources(spark, tmp_path):
@@ -175,6 +293,22 @@ def test_sources(spark, tmp_path):
     assert files.layered({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
 
 
+def test_pool_and_row_order(spark, tmp_path):
+    names = spark.createDataFrame([("b.x", "l1", "/v/lib/python3.9/site-packages/x.py"), ("a.y", "l2", None)], "name string, library string, path string")
+    member = spark.createDataFrame([("b.x", "m1", "new"), ("a.y", "m2", "modified"), ("b.x", "m2", "new")], "name string, family string, kind string")
+    manifest = files.freeze_pool(names, member, ["m1", "m2"], str(tmp_path / "pool"))
+    assert manifest["per_library"] == {"l1": 1, "l2": 1} and manifest["n_candidates"] == 2 and manifest["sha256"]
+    wide = files.read_csv(spark, str(tmp_path / "pool/membership"), "name string, library string, m1 string, m2 string")
+    assert list(map(tuple, files.with_order(wide).orderBy("ord").drop("ord").collect())) == [("a.y", "l2", "", "modified"), ("b.x", "l1", "new", "new")]
+    assert files.first_present(spark, str(tmp_path / "no"), str(tmp_path / "pool")) == str(tmp_path / "pool")
+    spark.range(0, 1000, 1, 7).write.parquet(str(tmp_path / "r"))
+    got = files.with_order(spark.read.parquet(str(tmp_path / "r"))).collect()
+    assert sorted(r["ord"] for r in got) == list(range(1000))
+    rows = [("t", "a", "l", "d", "e", True, "", None, 1.0), ("u", "a", "l", "d", "e", False, "", "x call check y", None), ("v", "a", "l", "d", "e", None, "WrongLogic", None, None)]
+    out = files.verdict_rows(spark.createDataFrame(rows, "task_id string, api_name string, library string, domain string, difficulty string, passed boolean, label string, error string, pass_at_5 double"), "call check").orderBy("task_id").collect()
+    assert [(r["passed"], r["label"], r["call_check_failed"]) for r in out] == [(1, "Pass", 0), (0, "Unlabelled", 1), (0, "WrongLogic", 0)]
+
+
 def test_stream_appends_each_key_once(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
@@ -196,11 +330,14 @@ def test_reconcile(spark):
 
 
 def test_names_and_markers(spark):
-    assert column(spark, X.leaf_variants(F.col("s")), "pkg.myFunc_two") == [["my func two", "myFunc_two", "myfunc_two", "myfunctwo"]]
+    ends = ["", "s", "ed", "ing", "er"]
+    assert column(spark, X.leaf_variants(F.col("s")), "pkg.myFunc_two") == [sorted({"myfunctwo", *["myFunc_two" + e for e in ends], *["myfunc two" + e for e in ends]})]
     assert column(spark, X.scenario_result(F.col("s")), "x\n  RESULT_DESC:{\"a\": 1}\nRESULT_DESC:2", "none") == ['{"a": 1}', None]
-    assert column(spark, X.strip_thinking(F.col("s")), "<think>a</think>b", "c</think>d") == ["b", "d"]
+    assert column(spark, X.strip_thinking(F.col("s")), "<think>a</think> b ", "c</think>d</think>e") == ["b", "d</think>e"]
     assert column(spark, X.first_fence(F.col("s")), "x ```python\na\n``` y", "  b\n", "``````") == ["a", "b", ""]
     assert column(spark, X.parent(F.col("s")), "a.b.c", "a") == ["a.b", ""]
+    assert column(spark, X.is_prerelease(F.col("s")), "2.0RC1", "1.2.3", "1.0.post1", "1.0+cu") == [True, False, True, False]
+    assert column(spark, X.undefined_name(F.col("s")), "name 'x' is not defined", "NameError: name 'x' is not defined") == [None, "x"]
 
 
 def test_gates(spark):
