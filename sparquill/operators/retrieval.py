@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,24 +16,117 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def scores(queries: DataFrame, corpus: DataFrame, on: list[str], digits: int = 9) -> DataFrame:
-    """(query columns, chunk columns, score) of every query against all rows of its group."""
-    left = queries.withColumnRenamed("emb", "__q")
-    right = corpus.withColumnRenamed("emb", "__c")
-    return left.join(right, on).withColumn("score", F.round(dot(F.col("__q"), F.col("__c")), digits)).drop("__q", "__c")
-
-
 def top_k(scored: DataFrame, k: int, query: str = "query_id", chunk: str = "chunk_id") -> DataFrame:
     """Best k rows of each query: score downwards, then id."""
     by = Window.partitionBy(query).orderBy(F.desc("score"), chunk)
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
-def first_hit(scored: DataFrame, match: Column, k: int = 5, query: str = "query_id", chunk: str = "chunk_id") -> DataFrame:
-    """Rank of the first matching row in a query's whole ranking, and whether it is within k."""
-    by = Window.partitionBy(query).orderBy(F.desc("score"), chunk)
-    ranked = scored.withColumn("r", F.row_number().over(by)).groupBy(query).agg(F.min(F.when(match, F.col("r"))).alias("target_rank"))
-    return ranked.withColumn("hit5", F.coalesce((F.col("target_rank") <= k).cast("int"), F.lit(0)))
+#: Queries and corpus rows of a group that meet in one task, at most (about).
+TASK_QUERIES, TASK_ROWS = 512, 200_000
+
+
+def _tiles(queries: DataFrame, corpus: DataFrame, on: list[str], fold, kind: str) -> DataFrame:
+    """Rows that ``fold`` makes of matrices: of each task's queries and a batch of its corpus rows. Both
+    sides have the group's columns ``on``, id (long), label (string) and emb; queries also at_score and
+    at_id. Queries and rows of a group are dealt out by their counts, so tasks are of bounded size."""
+
+    def parts(df, most, out):
+        sizes = df.groupBy(*on).agg(F.ceil(F.count("*") / most).cast("int").alias(out))
+        return F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
+
+    q, c = parts(queries, TASK_QUERIES, "__nq"), parts(corpus, TASK_ROWS, "__nc")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    key = F.xxhash64(*[F.col(x).cast("string") for x in on])
+    vec = F.col("emb").cast("array<double>")
+    left = queries.join(q, on).join(c, on).select(key.alias("key"), own("__nq").alias("p"), every("__nc").alias("r"), F.lit(0).alias("side"), "id", "label", vec.alias("v"), "at_score", "at_id")
+    right = corpus.join(c, on).join(q, on).select(key.alias("key"), every("__nq").alias("p"), own("__nc").alias("r"), F.lit(1).alias("side"), "id", "label", vec.alias("v"), F.lit(None).cast("double").alias("at_score"), F.lit(None).cast("long").alias("at_id"))
+
+    def run(batches):
+        def side(batch):
+            dim = len(batch.column(6)[0]) if batch.num_rows else 0
+            v = batch.column(6).flatten().to_numpy().reshape(-1, dim)
+            texts = np.array(batch.column(5).to_pylist(), object)
+            return [batch.column(4).to_numpy(), texts, v, batch.column(7).to_numpy(zero_copy_only=False), batch.column(8).to_numpy(zero_copy_only=False)]
+
+        key, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                here = tuple(keys[a][:3])
+                if here != key:
+                    key, held = here, []
+                rows = side(batch.slice(a, b - a))
+                if keys[a][3] == 0:
+                    held = rows if not held else [np.concatenate(x) for x in zip(held, rows)]
+                elif held:
+                    yield from fold(held, rows)
+
+    met = left.unionByName(right).repartition("key", "p", "r").sortWithinPartitions("key", "p", "r", "side")
+    return met.mapInArrow(run, kind)
+
+
+def _shape(df: DataFrame, on: list[str], key: str, label: str | None) -> DataFrame:
+    text = F.col(label).cast("string") if label else F.lit(None).cast("string")
+    return df.select(*on, F.col(key).cast("long").alias("id"), text.alias("label"), "emb")
+
+
+def search(queries: DataFrame, corpus: DataFrame, on: list[str], k: int, digits: int = 9, query: str = "query_id", chunk: str = "chunk_id", apart: bool = False) -> DataFrame:
+    """Best k corpus rows of each query within its group, by inner product (rounded to ``digits``) and then
+    id: query, chunk, score, rank. apart: a query's own id is no candidate."""
+
+    def fold(q, c):
+        scores = np.round(q[2] @ c[2].T, digits)
+        if apart:
+            scores[q[0][:, None] == c[0][None, :]] = -np.inf
+        edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+        i, j = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
+        at = np.lexsort((c[0][j], -scores[i, j], i))
+        i, j = i[at], j[at]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)  # ties beyond the kth go
+        i, j = i[rank < k], j[rank < k]
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(q[0][i]), pa.array(c[0][j]), pa.array(scores[i, j])], names=[query, chunk, "score"])
+
+    none = {"at_score": F.lit(None).cast("double"), "at_id": F.lit(None).cast("long")}
+    found = _tiles(_shape(queries, on, query, None).withColumns(none), _shape(corpus, on, chunk, None), on, fold, f"{query} long, {chunk} long, score double")
+    return top_k(found, k, query, chunk)
+
+
+def first_hit(queries: DataFrame, corpus: DataFrame, on: list[str], k: int = 5, digits: int = 9, query: str = "query_id", chunk: str = "chunk_id", label: str = "label", apart: bool = False) -> DataFrame:
+    """Rank of the first row with a query's label in its group's whole ranking (null if there is none), and
+    whether it is within k. No ranking is sorted: the rank is one more than the number of rows that
+    precede the best match."""
+
+    def best(q, c):
+        scores = np.round(q[2] @ c[2].T, digits)
+        ok = q[1][:, None] == c[1][None, :]
+        if apart:
+            ok &= q[0][:, None] != c[0][None, :]
+        i = np.flatnonzero(ok.any(axis=1))
+        top = np.where(ok, scores, -np.inf)[i].max(axis=1) if len(i) else np.zeros(0)
+        ids = np.array([c[0][ok[x] & (scores[x] == t)].min() for x, t in zip(i, top)], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(q[0][i]), pa.array(top), pa.array(ids)], names=[query, "s", "i"])
+
+    def ahead(q, c):
+        scores = np.round(q[2] @ c[2].T, digits)
+        s, at = q[3][:, None], q[4][:, None]
+        before = (scores > s) | ((scores == s) & (c[0][None, :] < at))
+        if apart:
+            before &= q[0][:, None] != c[0][None, :]
+        yield pa.RecordBatch.from_arrays([pa.array(q[0]), pa.array(before.sum(axis=1).astype(np.int64))], names=[query, "n"])
+
+    none = {"at_score": F.lit(None).cast("double"), "at_id": F.lit(None).cast("long")}
+    left, right = _shape(queries, on, query, label), _shape(corpus, on, chunk, label)
+    top = _tiles(left.filter("label is not null").withColumns(none), right, on, best, f"{query} long, s double, i long")
+    top = top.groupBy(query).agg(F.max(F.struct("s", (-F.col("i")).alias("i"))).alias("x")).select(F.col(query).alias("id"), F.col("x.s").alias("at_score"), (-F.col("x.i")).alias("at_id"))
+    counts = _tiles(left.join(top, "id"), right, on, ahead, f"{query} long, n long").groupBy(query).agg((F.sum("n") + 1).cast("int").alias("target_rank"))
+    out = queries.select(query).join(counts, query, "left")
+    return out.withColumn("hit5", F.coalesce((F.col("target_rank") <= k).cast("int"), F.lit(0)))
 
 
 def contexts(top: DataFrame, text: str = "text", separator: str = "\n\n---\n\n", query: str = "query_id") -> DataFrame:
@@ -40,9 +135,10 @@ def contexts(top: DataFrame, text: str = "text", separator: str = "\n\n---\n\n",
     return top.groupBy(query).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), separator).alias("context"))
 
 
-def nearest_within(scored: DataFrame, radius: float, query: str = "query_id", chunk: str = "chunk_id") -> DataFrame:
-    """Each query's nearest row, if its distance (for unit vectors) is within the radius."""
-    return top_k(scored, 1, query, chunk).withColumn("distance", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score")))).filter(F.col("distance") <= radius)
+def nearest_within(top: DataFrame, radius: float) -> DataFrame:
+    """Of the nearest rows of queries (rank 1), those whose distance (for unit vectors) is within the radius."""
+    distance = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score")))
+    return top.filter("rank = 1").withColumn("distance", distance).filter(F.col("distance") <= radius)
 
 
 def mmr(df: DataFrame, by: str, n: int, lam: float = 0.5, item: str = "id", quality: str = "quality", emb: str = "emb") -> DataFrame:
@@ -84,7 +180,10 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def suffix_cap(df: DataFrame, group: str, quality: str, order: str, cap: int = 3, least: int = 5) -> DataFrame:
-    """The best ``cap`` rows of groups of ``least`` and more; smaller groups pass whole."""
-    w = Window.partitionBy(group)
-    rows = df.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy(F.desc(quality), order)))
-    return rows.filter((F.col("__n") < least) | (F.col("__r") <= cap)).drop("__n", "__r")
+    """The best ``cap`` rows of groups of ``least`` and more; smaller groups pass whole. Groups are counted
+    before the shuffle, and only the first rows of each partition's groups are ranked."""
+    rows = df.withColumn("__g", F.coalesce(F.to_json(F.struct(group)), F.lit("")))
+    sizes = rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    rows = rows.join(sizes, "__g")
+    best = rows.filter(F.col("__n") >= least).withColumn("__r", F.row_number().over(Window.partitionBy("__g").orderBy(F.desc(quality), order))).filter(F.col("__r") <= cap)
+    return rows.filter(F.col("__n") < least).unionByName(best.drop("__r")).select(*[F.col(f"`{c}`") for c in df.columns])

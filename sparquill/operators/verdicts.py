@@ -129,7 +129,7 @@ def cell_summary(frame: DataFrame, by: list[str]) -> DataFrame:
 
 
 def min_max(df: DataFrame, by: str, value: str, out: str = "scaled") -> DataFrame:
-    """Values scaled to [0, 1] within a group; equal ones become 1."""
-    w = Window.partitionBy(by)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(out, F.when(high == low, 1.0).otherwise((F.col(value) - low) / (high - low)))
+    """Values scaled to [0, 1] within a group; equal ones become 1. Extremes are aggregated and joined."""
+    ends = df.groupBy(F.col(by).alias("__by")).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    scaled = F.when(F.col("__high") == F.col("__low"), 1.0).otherwise((F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low")))
+    return df.join(ends, F.col(by).eqNullSafe(F.col("__by"))).withColumn(out, scaled).drop("__by", "__low", "__high")

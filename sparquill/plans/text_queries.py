@@ -31,11 +31,14 @@ def chunk_counts(spark, sf):
     return _chunks(spark, sf).groupBy("doc_id").agg(F.count("*").alias("chunks"))
 
 
-def _scored(spark, sf):
-    e = table(spark, sf, "embeddings").withColumnRenamed("embedding", "emb")
-    q = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"), "emb", F.lit(0).alias("domain"))
-    c = e.select(F.col("vec_id").alias("chunk_id"), "label", "emb", F.lit(0).alias("domain"))
-    return R.scores(F.broadcast(q) if q.count() <= 10_000 else q, c, ["domain"]).filter("query_id <> chunk_id")
+def _sides(spark, sf):
+    """Every tenth embedding as a query, all as corpus; a query's own row is left out of the search."""
+    e = table(spark, sf, "embeddings").withColumnRenamed("embedding", "emb").withColumn("domain", F.lit(0))
+    return e.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"), ["domain"]
+
+
+def _top(spark, sf, k):
+    return R.search(*_sides(spark, sf), k, apart=True)
 
 
 SCORED = "(SELECT q.vec_id AS query_id, q.label AS q_label, c.vec_id AS chunk_id, c.label, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 9) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 10 = 0 AND c.vec_id <> q.vec_id)"
@@ -43,7 +46,7 @@ SCORED = "(SELECT q.vec_id AS query_id, q.label AS q_label, c.vec_id AS chunk_id
 
 @register("topk_vectors", f"SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM {SCORED}) WHERE rank <= 5")
 def topk_vectors(spark, sf):
-    return R.top_k(_scored(spark, sf), 5).select("query_id", "chunk_id", "rank")
+    return _top(spark, sf, 5).select("query_id", "chunk_id", "rank")
 
 
 RANKED = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM {SCORED})"
@@ -51,24 +54,24 @@ RANKED = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DE
 
 @register("first_hit_rank", f"SELECT query_id, coalesce(min(r) FILTER (label = q_label), -1)::INT AS target_rank, coalesce((min(r) FILTER (label = q_label) <= 5)::INT, 0) AS hit5 FROM {RANKED} GROUP BY 1")
 def first_hit_rank(spark, sf):
-    return R.first_hit(_scored(spark, sf), F.col("label") == F.col("q_label")).withColumn("target_rank", F.coalesce("target_rank", F.lit(-1)))
+    return R.first_hit(*_sides(spark, sf), apart=True).withColumn("target_rank", F.coalesce("target_rank", F.lit(-1)))
 
 
 @register("nearest_within_radius", f"SELECT query_id, chunk_id FROM {RANKED} WHERE r = 1 AND sqrt(greatest(0, 2 - 2 * score)) <= 1.3")
 def nearest_within_radius(spark, sf):
-    return R.nearest_within(_scored(spark, sf), 1.3).select("query_id", "chunk_id")
+    return R.nearest_within(_top(spark, sf, 1), 1.3).select("query_id", "chunk_id")
 
 
 @register("retrieved_context", f"SELECT query_id, string_agg('#' || chunk_id, ' | ' ORDER BY r) AS context FROM {RANKED} WHERE r <= 5 GROUP BY 1")
 def retrieved_context(spark, sf):
-    top = R.top_k(_scored(spark, sf), 5).withColumn("text", F.concat(F.lit("#"), "chunk_id"))
+    top = _top(spark, sf, 5).withColumn("text", F.concat(F.lit("#"), "chunk_id"))
     return R.contexts(top, separator=" | ")
 
 
 @register("shared_hits", f"SELECT q_label, count(*)::BIGINT AS n, sum(h)::BIGINT AS hits FROM (SELECT query_id, q_label, coalesce((min(r) FILTER (label = q_label) <= 5)::INT, 0) AS h FROM {RANKED} GROUP BY 1, 2) GROUP BY 1")
 def shared_hits(spark, sf):
-    s = _scored(spark, sf)
-    hits = R.first_hit(s, F.col("label") == F.col("q_label")).join(s.select("query_id", "q_label").distinct(), "query_id")
+    sides = _sides(spark, sf)
+    hits = R.first_hit(*sides, apart=True).join(sides[0].select("query_id", F.col("label").alias("q_label")), "query_id")
     return hits.groupBy("q_label").agg(F.count("*").alias("n"), F.sum("hit5").alias("hits"))
 
 
