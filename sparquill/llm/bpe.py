@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding (operator 1).
 
-Bytes are mapped to Latin-1 characters, so that one Aho-Corasick pass finds every vocabulary
-entry at every offset of a pre-token. The encoder walks from longest matches and backtracks
-where two adjacent tokens couldn't both come out of the merges; whether they can is decided by
-undoing merges and is memoised for each pair. An offset that failed once is never tried again,
-so a pre-token costs time linear in its bytes, however long it is, and the result is the one
-that applying the merges in rank order gives.
+Bytes are mapped to Latin-1 characters, so that an Aho-Corasick automaton over the vocabulary
+gives the longest entry at an offset of a pre-token. The encoder walks from longest matches and
+backtracks, to the next shorter entry, where two adjacent tokens couldn't both come out of the
+merges; whether they can is decided by undoing merges and is memoised for each pair. An offset
+that failed once is never tried again, so a pre-token costs time linear in its bytes, however
+long it is, and the result is the one that applying the merges in rank order gives.
 
 Cases: a null or empty text has no tokens (zero-length ids); ids that are null decode to zero
 bytes; repeated rows are encoded alike; the frame's other columns are kept, whatever their names.
@@ -14,15 +14,18 @@ bytes; repeated rows are encoded alike; the frame's other columns are kept, what
 from __future__ import annotations
 
 import base64
+import re
+import struct
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table
+from .common import no_cycles, small_batches, table
 
-#: Most pre-tokens and token pairs a worker remembers; see Memo.
+#: Most pre-tokens and token pairs a worker remembers: some 70 MB and 20 MB.
 MEMO_WORDS = 350_000
 MEMO_PAIRS = 200_000
 #: Longer pre-tokens (in characters) aren't remembered.
@@ -50,29 +53,53 @@ def rust_classes(pattern: str) -> str:
     return pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{white}\p{{L}}\p{{N}}]").replace(r"(?!\S)", rf"(?![^{white}])").replace(r"\s+", rf"[{white}]+")
 
 
+def splitter(pattern: str):
+    """Function from a text to its pre-tokens. Texts of the basic plane are split by the standard
+    library's engine, which is thrice as fast, over the ranges that the classes have in that plane."""
+    import regex
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    whole = plane = rust_classes(pattern)
+    for name in ("L", "N"):
+        runs = regex.findall(rf"\p{{{name}}}+", every)
+        ranges = "".join(f"\\u{ord(r[0]):04x}-\\u{ord(r[-1]):04x}" for r in runs)
+        plane = plane.replace(rf"?\p{{{name}}}+", f"?[{ranges}]+").replace(rf"\p{{{name}}}", ranges)
+    slow, fast = regex.compile(whole).findall, re.compile(plane).findall
+
+    def split(text: str) -> list[str]:
+        return fast(text) if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text) else slow(text)
+
+    return split
+
+
 class ByteBpe:
     """Encoder and decoder for a rank file; one per worker process."""
 
     def __init__(self, path: str, pattern: str):
         import ahocorasick
-        import regex
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.split = regex.compile(rust_classes(pattern)).findall
+        self.split = splitter(pattern)
+        if any(bytes([x]) not in ranks for x in range(256)):
+            raise ValueError("the vocabulary lacks some byte")
         self.ranks = ranks
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.length = [len(x) for x in self.bytes_of]
+        self.most = max(self.length)
+        self.by_text = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
+        for token, rank in self.by_text.items():
+            self.automaton.add_word(token, rank)
         self.automaton.make_automaton()
+        #: the longest token that each token properly begins with
+        self.shorter = [next((r for k in range(len(b) - 1, 0, -1) if (r := ranks.get(b[:k])) is not None), -1) for b in self.bytes_of]
         self.pairs: dict[tuple[int, int], int] = {}
         self.parts: list[tuple[int, int]] = []
         self.fits: dict[int, bool] = {}
-        self.words = Memo(MEMO_WORDS)
+        self.words = Words(self.ids)
         self._undo()
 
     def _undo(self) -> None:
@@ -111,68 +138,72 @@ class ByteBpe:
                     if a == limit:
                         return True
 
-    def ids(self, word: bytes) -> list[int]:
+    def ids(self, word: str) -> list[int]:
         """Tokens of one pre-token."""
-        whole = self.ranks.get(word)
+        text = word if word.isascii() else word.encode().decode("latin-1")
+        whole = self.by_text.get(text)
         if whole is not None:
             return [whole]
-        n, length, fits = len(word), self.length, self.fits
-        starts: list[list[int] | None] = [None] * n
-        for end, rank in self.automaton.iter(word.decode("latin-1")):
-            at = end + 1 - length[rank]
-            if starts[at] is None:
-                starts[at] = [rank]
-            else:
-                starts[at].append(rank)
-        # what is left to try at the offsets on the path; an offset that failed is dead
-        tokens, at, last = [], 0, -1
-        dead = bytearray(n + 1)
-        while at < n:
-            options = starts[at]
-            while options:
-                rank = options.pop()
-                end = at + length[rank]
-                if dead[end]:
-                    continue
-                if last >= 0:
-                    pair = last << 32 | rank
-                    ok = fits.get(pair)
-                    if ok is None:
-                        if len(fits) >= MEMO_PAIRS:
-                            fits.clear()
-                        ok = fits[pair] = self._compatible(last, rank)
-                    if not ok:
-                        continue
+        n, most, length, shorter, fits, longest = len(text), self.most, self.length, self.shorter, self.fits, self.automaton.iter_long
+        # a failed offset is dead; what is left to try at an offset are the shorter tokens there
+        tokens, at, last, dead = [], 0, -1, set()
+        rank = next(longest(text[:most]))[1]
+        while True:
+            end = at + length[rank]
+            ok = end not in dead
+            if ok and last >= 0:
+                pair = last << 32 | rank
+                ok = fits.get(pair)
+                if ok is None:
+                    if len(fits) >= MEMO_PAIRS:
+                        fits.clear()
+                    ok = fits[pair] = self._compatible(last, rank)
+            if ok:
                 tokens.append(rank)
+                if end == n:
+                    return tokens
                 at, last = end, rank
-                break
-            else:
-                if not tokens:
-                    raise ValueError("the vocabulary lacks some byte")
-                dead[at] = 1
-                at -= length[tokens.pop()]
+                rank = next(longest(text[at : at + most]))[1]
+                continue
+            rank = shorter[rank]
+            while rank < 0:
+                dead.add(at)
+                rank = tokens.pop()
+                at -= length[rank]
                 last = tokens[-1] if tokens else -1
-        return tokens
+                rank = shorter[rank]
 
     def encode(self, text: str) -> bytes:
         """Token ids of a text as little-endian unsigned 32-bit integers."""
-        words, out = self.words, []
-        for word in self.split(text):
-            got = words.get(word)
-            if got is None:
-                got = b"".join(x.to_bytes(4, "little") for x in self.ids(word.encode()))
-                if len(word) <= MEMO_CHARS:
-                    words.keep(word, got)
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of a sequence of ids."""
-        import numpy as np
-
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class Words(dict):
+    """Ids of pre-tokens: of those met first, which are the frequent ones, up to MEMO_WORDS of at
+    most MEMO_CHARS characters. It starts anew when it has turned away four times as many."""
+
+    def __init__(self, ids):
+        super().__init__()
+        self.ids, self.away = ids, 0
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.ids(word)
+        got = struct.pack(f"<{len(got)}I", *got)
+        if len(word) <= MEMO_CHARS:
+            if len(self) < MEMO_WORDS:
+                self[word] = got
+            else:
+                self.away += 1
+                if self.away > 4 * MEMO_WORDS:
+                    self.clear()
+                    self.away = 0
+        return got
+
+
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> ByteBpe:
     """The worker's encoder for a rank file."""
@@ -182,11 +213,13 @@ def codec(path: str, pattern: str) -> ByteBpe:
 def encode(df: DataFrame, text: str = "text", out: str = "ids_le", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """df with column ``out``: the token ids of column ``text`` as little-endian uint32 binary."""
     path, pattern = path or default_ranks(), pattern or default_pattern()
+    small_batches(df.sparkSession)
 
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
         run = codec(path, pattern).encode
-        return pa.array((run(x.as_py() or "") for x in texts), pa.binary())
+        with no_cycles():
+            return pa.array((run(x.as_py() or "") for x in texts), pa.binary())
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -194,6 +227,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids_le", path: str | N
 def decode(df: DataFrame, ids: str = "ids_le", out: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """df with column ``out``: the bytes that the ids in column ``ids`` stand for."""
     path, pattern = path or default_ranks(), pattern or default_pattern()
+    small_batches(df.sparkSession)
 
     @F.arrow_udf("binary")
     def back(column: pa.Array) -> pa.Array:
@@ -208,8 +242,6 @@ def ids_array(ids: str = "ids_le"):
 
     @F.arrow_udf("array<int>")
     def unpack(column: pa.Array) -> pa.Array:
-        import numpy as np
-
         rows = [np.frombuffer(x.as_py() or b"", "<u4").astype("i4") for x in column]
         return pa.array(rows, pa.list_(pa.int32()))
 
