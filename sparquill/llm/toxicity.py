@@ -8,8 +8,8 @@ nothing. Only documents carry labels; the weights are fitted to them through the
 fitted sentence scores then locate the offending sentences.
 
 The model is fitted on the driver, on at most MAX_TRAIN labelled documents (a documented bound:
-those whose id hashes lowest), whatever the size of the corpus, and holds at most MAX_FEATURES
-weights. Scoring is a map over whole texts without a shuffle.
+those whose id hashes lowest; ones of more than MAX_CHARS characters aren't learned from, but are
+scored like all others), whatever the size of the corpus, and holds at most MAX_FEATURES weights. Scoring is a map over whole texts without a shuffle.
 
 Cases: null and empty texts have no evidence, so they get the base rate alone; labels that are
 null or of unknown documents are left out; several labels of one document count as toxic if any
@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table, text_of
+from .common import Memo, no_cycles, small_batches, table, text_of
 
-#: Most labelled documents, and characters of them, that a model is fitted on; most weights it has.
+#: Most labelled documents that a model is fitted on, and most characters of each; most weights it has.
 MAX_TRAIN = 5000
+MAX_CHARS = 50_000
 MAX_FEATURES = 2048
 PREFIXES = (4, 5, 6)
 #: Documents of the sample that a feature must occur in.
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, max_train: int = MAX_TRAI
     known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("__y"))
     known = known.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(max_train)
     # one row a document; at most max_train rows go to the driver
-    found = docs.select(F.col("doc_id").alias("__id"), text_of("text").alias("__text")).join(F.broadcast(known), "__id")
+    found = docs.select(F.col("doc_id").alias("__id"), text_of("text").alias("__text")).filter(F.length("__text") <= MAX_CHARS).join(F.broadcast(known), "__id")
     rows = sorted(found.groupBy("__id").agg(F.max("__text").alias("t"), F.first("__y").alias("y")).collect())
     return train([r["t"] for r in rows], [int(r["y"] > 0) for r in rows])
 
@@ -172,10 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, max_train: int = MAX_TRAI
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """df with column ``out``: the probability that column ``text`` is toxic."""
     memo = Memo(MEMO_WORDS)
+    small_batches(df.sparkSession)
 
     @F.arrow_udf("double")
     def toxicity(texts: pa.Array) -> pa.Array:
-        return pa.array((model.document(x.as_py() or "", memo) for x in texts), pa.float64())
+        with no_cycles():
+            return pa.array((model.document(x.as_py() or "", memo) for x in texts), pa.float64())
 
     return df.withColumn(out, toxicity(F.col(text)))
 
