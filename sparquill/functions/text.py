@@ -402,3 +402,14 @@ def portable(df: DataFrame) -> DataFrame:
         return c
 
     return df.select(*[clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def path_rank(name: Column, scanned: Column, owner: Column) -> Column:
+    """Rank of a place where an object was found, least is best: no private segment in the scanned
+    module, which holds the defining one, the nearer the better; fewer segments; then by name."""
+    parts = lambda x: F.when(F.coalesce(x, F.lit("")) != "", F.split(x, r"\.")).otherwise(F.array().cast(NO_STRINGS))
+    scan, own = parts(scanned), parts(owner)
+    matched = F.when(F.size(own) > 0, shared_prefix(scan, own)).otherwise(0)
+    holds = (F.size(own) == 0) | (matched == F.size(scan))
+    private = F.exists(scan, lambda x: F.startswith(x, F.lit("_")))
+    return F.struct(private.cast("int").alias("p"), (~holds).cast("int").alias("a"), F.when(holds, -matched).otherwise(0).alias("m"), F.regexp_count(name, F.lit(r"\.")).alias("d"), name.alias("n"))

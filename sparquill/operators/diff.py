@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import leaf, signature_changed, strip
+from ..functions.text import leaf, path_rank, signature_changed, strip
 
 
 def canonical(entries: DataFrame, key: str = "identity") -> DataFrame:
@@ -28,6 +28,15 @@ def modified(old: DataFrame, new: DataFrame, key: str = "identity") -> DataFrame
     return canonical(new, key).join(o, key).filter(signature_changed(F.col("old_params"), F.col("params")))
 
 
+def best_paths(found: DataFrame) -> DataFrame:
+    """One row an object, at its best place. Rows are (name, scanned, owner, signature, path, ...); they are
+    one object where owner, leaf, signature and path agree."""
+    same = [F.coalesce("owner", F.lit("")), leaf(F.col("name")), F.coalesce("signature", F.lit("")), F.coalesce("path", F.lit(""))]
+    keyed = [k.alias(f"__k{i}") for i, k in enumerate(same)]
+    best = F.min_by(F.struct(*found.columns), path_rank(F.col("name"), F.col("scanned"), F.col("owner"))).alias("x")
+    return found.groupBy(*keyed).agg(best).select("x.*")
+
+
 def with_identity(entries: DataFrame) -> DataFrame:
     """Entries (name, kind, params, path) with ``identity``: leaf, kind, and the source file's name or,
     without a source, the parameters' shape."""

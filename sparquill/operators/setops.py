@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +105,70 @@ def neighbours(lines: DataFrame, hits: DataFrame, doc: str, pos: str, reach: int
     an equi join on exploded places."""
     around = hits.select(doc, F.col(pos).alias("hit"), F.explode(F.sequence(F.col(pos) - reach, F.col(pos) + reach)).alias(pos))
     return around.join(lines, [doc, pos])
+
+
+def keyed_in_order(wanted: DataFrame, rows: DataFrame, key: str, order: str = "ord") -> DataFrame:
+    """The row of each wanted key, in the wanted order (column ``order``); a key without a row raises."""
+    found = wanted.join(rows.withColumn("__found", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit("no row for "), F.col(key).cast("string"))).cast("boolean")
+    return found.filter(F.coalesce("__found", missing)).drop("__found").orderBy(order)
+
+
+def scored_in_order(predictions: DataFrame, results: DataFrame, key: str, order: str = "ord") -> tuple[DataFrame, DataFrame]:
+    """Results in the order of the predictions, the last of each key; and how many predictions have none."""
+    last = results.groupBy(key).agg(F.max_by(F.struct(*[c for c in results.columns if c != key]), order).alias("v"))
+    both = predictions.select(key, F.col(order).alias("__at")).join(last, key, "left")
+    kept = both.filter("v is not null").select(key, "v.*", "__at").withColumn(order, F.col("__at")).drop("__at")
+    return kept.orderBy(order), both.agg(F.count_if(F.col("v").isNull()).alias("unscored"))
+
+
+def concat_in_order(frames: dict[str, DataFrame], column: str = "model") -> DataFrame:
+    """Named frames one after another: name and place in ``column`` and ``<column>_ord``."""
+    tagged = [df.select(F.lit(i).alias(f"{column}_ord"), F.lit(name).alias(column), "*") for i, (name, df) in enumerate(frames.items())]
+    return reduce(DataFrame.unionByName, tagged)
+
+
+def restrict(exclusions: DataFrame, instances: list[DataFrame], key: str = "task_id") -> DataFrame:
+    """Exclusions of tasks that some instance holds."""
+    every = reduce(DataFrame.unionByName, [df.select(key) for df in instances])
+    return exclusions.join(every.distinct(), key, "left_semi")
+
+
+def strict_wide(rows: DataFrame, key: str, column: str, values: list[str], value: str) -> DataFrame:
+    """Long to wide, where a repeated (key, column) raises."""
+    cell = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("repeated key")).cast(dict(rows.dtypes)[value])).otherwise(F.first(value))
+    return rows.groupBy(key, column).agg(cell.alias("__v")).groupBy(key).pivot(column, values).agg(F.first("__v"))
+
+
+def stride(df: DataFrame, order: list[str], index: int, n: int) -> DataFrame:
+    """Every nth row in an order, from ``index`` on. Rows are ranked within ranges of the first order
+    column's quantiles, whose counts give each range its start, so no task sorts all."""
+    first = order[0]
+    cuts = sorted(set(df.approxQuantile(first, [k / 64 for k in range(1, 64)], 0.001)))
+    part = reduce(lambda a, c: a + (F.col(first) > F.lit(c)).cast("int"), cuts, F.lit(0))
+    rows = df.withColumn("__part", part)
+    starts, seen = {}, 0
+    for p, m in sorted(tuple(r) for r in rows.groupBy("__part").count().collect()):  # at most 64
+        starts[p] = seen
+        seen += m
+    start = F.coalesce(*[F.when(F.col("__part") == p, F.lit(at)) for p, at in starts.items()], F.lit(0))
+    rank = start + F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return rows.withColumn("__rank", rank).filter(F.col("__rank") % n == index).drop("__part", "__rank")
+
+
+def distractors(df: DataFrame, group: str, key: str, n: int, seed: int = 7, block: int = 1000) -> DataFrame:
+    """(task, other): for each row n others of its group, those next in a seeded order, going round. Large
+    groups are parted into blocks first, so no pairs but the chosen ones arise and no task holds a group."""
+    sizes = df.groupBy(group).agg(F.greatest(F.lit(1), F.floor(F.count("*") / block)).alias("__blocks"))
+    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    rows = df.select(group, key).join(sizes, group).select(group, key, mixed.alias("__h"), F.pmod(F.crc32(mixed.cast("binary")), F.col("__blocks")).alias("__b"))
+    counts = rows.groupBy(group, "__b").agg(F.count("*").alias("__c"))
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(group, "__b").orderBy("__h", key)) - 1).join(counts, [group, "__b"])
+    steps = F.sequence(F.lit(1), F.least(F.lit(n).cast("bigint"), F.col("__c") - 1))
+    asked = ranked.filter("__c > 1").select(group, "__b", F.col(key).alias("task"), F.explode(F.transform(steps, lambda i: (F.col("__r") + i) % F.col("__c"))).alias("__r"))
+    return asked.join(ranked.select(group, "__b", F.col("__r").cast("bigint").alias("__r"), F.col(key).alias("other")), [group, "__b", "__r"]).select("task", "other")
+
+
+def keep_chance(key: Column, share: float, seed: int = 7) -> Column:
+    """A seeded coin for each key: true with probability ``share``."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("bigint") < F.lit(int(share * (1 << 32)))

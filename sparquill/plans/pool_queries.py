@@ -8,6 +8,7 @@ from ..functions import predicates as P
 from ..functions import text as X
 from ..operators import diff
 from ..operators import retrieval as R
+from ..operators import setops as S
 from .base import table
 from .registry import register
 
@@ -144,10 +145,14 @@ def best_path(spark, sf):
     return table(spark, sf, "part").groupBy("p_brand").agg(F.min_by("p_name", F.struct("p_size", "p_partkey")).alias("name"))
 
 
-@register("distractor_sample", "SELECT task, other FROM (SELECT a.p_partkey AS task, b.p_partkey AS other, row_number() OVER (PARTITION BY a.p_partkey ORDER BY md5(a.p_partkey || ':' || b.p_partkey), b.p_partkey) AS r FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey) WHERE r <= 3")
+@register("distractor_sample", """
+WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY md5('7:' || p_partkey), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS c FROM part)
+SELECT a.p_partkey AS task, b.p_partkey AS other FROM r a JOIN r b ON a.p_brand = b.p_brand AND (b.r - a.r + a.c) % a.c BETWEEN 1 AND 3
+""")
 def distractor_sample(spark, sf):
-    p = table(spark, sf, "part").select("p_brand", "p_type", "p_partkey")
-    pairs = p.withColumnRenamed("p_partkey", "task").join(p.withColumnRenamed("p_partkey", "other"), ["p_brand", "p_type"]).filter("task <> other")
-    from ..operators.setops import first_n
+    return S.distractors(table(spark, sf, "part"), "p_brand", "p_partkey", 3)
 
-    return first_n(pairs, "task", [F.md5(F.concat_ws(":", "task", "other")), "other"], 3).select("task", "other")
+
+@register("bernoulli_keep", "SELECT p_partkey FROM part WHERE ('0x' || left(md5('7:' || p_partkey), 8))::BIGINT < 1288490188")
+def bernoulli_keep(spark, sf):
+    return table(spark, sf, "part").select("p_partkey").filter(S.keep_chance(F.col("p_partkey"), 0.3))

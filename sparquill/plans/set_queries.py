@@ -87,7 +87,21 @@ def last_wins(spark, sf):
 @register("keyed_join_in_order", "SELECT e.event_id, e.user_id, c.c_name FROM events e JOIN customer c ON c.c_custkey = e.user_id")
 def keyed_join_in_order(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
-    return table(spark, sf, "events").join(c, "user_id").select("event_id", "user_id", "c_name")
+    wanted = table(spark, sf, "events").join(c.select("user_id"), "user_id", "left_semi").withColumn("ord", F.col("event_id"))
+    return S.keyed_in_order(wanted, c, "user_id").select("event_id", "user_id", "c_name")
+
+
+@register("scored_in_order", "SELECT event_id, user_id, round(value, 6) AS value FROM (SELECT min(event_id) AS event_id, user_id, arg_max(value, event_id) AS value FROM events GROUP BY 2)")
+def scored_in_order(spark, sf):
+    e = table(spark, sf, "events").withColumn("ord", F.col("event_id"))
+    first = e.groupBy("user_id").agg(F.min("ord").alias("ord"))
+    return S.scored_in_order(first, e.select("user_id", "value", "ord"), "user_id")[0].select(F.col("ord").alias("event_id"), "user_id", F.round("value", 6).alias("value"))
+
+
+@register("restrict_exclusions", "SELECT o_orderkey AS task_id FROM orders WHERE o_orderkey % 17 = 0 AND (o_orderstatus = 'F' OR o_orderpriority = '1-URGENT')")
+def restrict_exclusions(spark, sf):
+    o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "task_id")
+    return S.restrict(o.filter("task_id % 17 = 0").select("task_id"), [o.filter("o_orderstatus = 'F'"), o.filter("o_orderpriority = '1-URGENT'")])
 
 
 @register("lookup_with_default", "SELECT c_custkey, coalesce(max(o_orderpriority), '') AS best FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -115,9 +129,10 @@ def split_by_group(spark, sf):
     return S.group_split(keys, "p_brand", F.md5(F.col("p_partkey").cast("string")), 0.8)
 
 
-@register("stride_shard", "SELECT p_partkey FROM part WHERE p_partkey % 4 = 1")
+@register("stride_shard", "SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS r FROM part) WHERE r % 4 = 1")
 def stride_shard(spark, sf):
-    return table(spark, sf, "part").filter("p_partkey % 4 = 1").select("p_partkey")
+    p = table(spark, sf, "part").withColumn("price", F.col("p_retailprice").cast("double"))
+    return S.stride(p, ["price", "p_partkey"], 1, 4).select("p_partkey")
 
 
 @register("asof_last_before", """

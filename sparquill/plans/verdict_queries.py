@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import diff, stats
+from ..operators import diff, setops, stats
 from ..operators import verdicts as V
 from .base import CONDITIONS, LABELS, SIX, table, verdicts, verdicts_sql
 from .registry import register
@@ -247,7 +247,7 @@ def distinct_flags(spark, sf):
 @register("strict_label_pivot", f"SELECT label, {', '.join(f'count(*) FILTER (condition = {c!r})::BIGINT AS {c.lower()}_n' for c in CONDITIONS)} FROM {verdicts_sql()} GROUP BY 1")
 def strict_label_pivot(spark, sf):
     counts = verdicts(spark, sf).groupBy("label", "condition").agg(F.count(F.lit(1)).alias("n"))
-    out = counts.groupBy("label").pivot("condition", CONDITIONS).agg(F.first("n"))
+    out = setops.strict_wide(counts, "label", "condition", CONDITIONS, "n")
     return out.select("label", *[F.coalesce(F.col(c), F.lit(0)).alias(f"{c.lower()}_n") for c in CONDITIONS])
 
 

@@ -24,9 +24,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """CSV with a header; in text columns empty stays empty and NA or none are plain text."""
-    df = spark.read.schema(schema).option("header", True).option("sep", sep).option("nullValue", "").csv(path)
+def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of a file that may be missing: then no rows."""
+    try:
+        found = first_present(spark, path)
+    except FileNotFoundError:
+        return spark.createDataFrame([], schema)
+    return read_jsonl(spark, found, schema)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
+    """CSV, with a header unless said otherwise; in text columns empty stays empty and NA or none are plain text."""
+    df = spark.read.schema(schema).option("header", header).option("sep", sep).option("nullValue", "").csv(path)
     return df.na.fill("", subset=[n for n, t in df.dtypes if t == "string"])
 
 
@@ -91,10 +100,20 @@ def verdict_rows(records: DataFrame, message: str) -> DataFrame:
     return records.select("task_id", "api_name", "library", "domain", "difficulty", passed.cast("int").alias("passed"), label.alias("label"), failed.cast("int").alias("call_check_failed"), "pass_at_5")
 
 
+def read_health(spark: SparkSession, path: str) -> DataFrame:
+    """(name) of the subtrees that a catalogue's walk could not read; aborted walks are no lost subtrees."""
+    doc = spark.read.text(path, wholetext=True)
+    found = F.from_json("value", "health struct<walk_failures:array<string>>")["health"]["walk_failures"]
+    return doc.select(F.explode(found).alias("name")).filter(~F.endswith("name", F.lit(" <walk aborted>")))
+
+
 def read_runs(spark: SparkSession, pattern: str, schema: str, experiments: list[str]) -> DataFrame:
-    """Result files of <run>/<cell>/ folders, with run and cell from the path; unknown runs are left out."""
+    """Result files of <run>/<cell>/ folders, with run, cell and the cell's method and condition (parted by
+    two underscores; a cell without them is a condition) from the path; unknown runs are left out."""
     df = spark.read.schema(schema).json(pattern).withColumn("__p", F.split(F.col("_metadata.file_path"), "/"))
     out = df.withColumn("run", F.element_at("__p", -3)).withColumn("cell", F.element_at("__p", -2)).drop("__p")
+    parted = F.contains("cell", F.lit("__"))
+    out = out.withColumn("method", F.when(parted, F.substring_index("cell", "__", 1))).withColumn("condition", F.when(parted, F.regexp_replace("cell", "^.*?__", "")).otherwise(F.col("cell")))
     return out.filter(F.substring_index("run", "-", 1).isin(experiments))
 
 
@@ -132,6 +151,23 @@ def put_cache(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     return first_wins(rows, ["key"], ["created_at"]).join(cache.select("key"), "key", "left_anti")
 
 
+def overrides(items: list[str]) -> dict:
+    """Nested settings of a dot list, ``a.b=value``, values as JSON where they are."""
+    import json
+
+    out: dict = {}
+    for item in items:
+        path, _, text = item.partition("=")
+        try:
+            value = json.loads(text)
+        except ValueError:
+            value = text
+        for name in reversed(path.split(".")):
+            value = {name: value}
+        out = layered(out, value)
+    return out
+
+
 def layered(base: dict, *layers: dict) -> dict:
     """Nested settings; the right-most wins."""
     out = dict(base)

@@ -309,6 +309,30 @@ def test_pool_and_row_order(spark, tmp_path):
     assert [(r["passed"], r["label"], r["call_check_failed"]) for r in out] == [(1, "Pass", 0), (0, "Unlabelled", 1), (0, "WrongLogic", 0)]
 
 
+def test_order_gates_and_overrides(spark, tmp_path):
+    wanted = spark.createDataFrame([("b", 0), ("a", 1)], "k string, ord int")
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double")
+    assert [r["v"] for r in setops.keyed_in_order(wanted, rows, "k").collect()] == [2.0, 1.0]
+    with pytest.raises(Exception, match="no row for a"):
+        setops.keyed_in_order(wanted, rows.filter("k = 'b'"), "k").collect()
+    scored = spark.createDataFrame([("a", 5, "x"), ("a", 6, "y")], "k string, ord int, v string")
+    kept, unscored = setops.scored_in_order(wanted, scored, "k")
+    assert [(r["k"], r["v"], r["ord"]) for r in kept.collect()] == [("a", "y", 1)] and unscored.first()[0] == 1
+    with pytest.raises(Exception, match="repeated key"):
+        setops.strict_wide(spark.createDataFrame([("a", "x", 1), ("a", "x", 2)], "k string, c string, v int"), "k", "c", ["x"], "v").collect()
+    places = [("p.api.f", "p.api", "p.core.impl"), ("p.f", "p", "p.core.impl"), ("p.core.f", "p.core", "p.core.impl"), ("p._x.f", "p._x", "p._x.y"), ("q.f", "", "q"), ("q.f", "q", None)]
+    found = spark.createDataFrame([(*x, "s", "f.py") for x in places], "name string, scanned string, owner string, signature string, path string")
+    assert sorted((r["name"], r["scanned"]) for r in diff.best_paths(found).collect()) == [("p._x.f", "p._x"), ("p.core.f", "p.core"), ("q.f", ""), ("q.f", "q")]
+    (tmp_path / "map.json").write_text('{"entries": {}, "health": {"walk_failures": ["a.b", "c <walk aborted>"]}}')
+    assert files.read_health(spark, str(tmp_path / "map.json")).collect() == [("a.b",)]
+    many = spark.range(5000).withColumn("g", F.lit("x"))
+    got = setops.distractors(many, "g", "id", 3).collect()
+    assert len(got) == len(set(map(tuple, got))) == 15_000 and all(t != o for t, o in got)
+    assert [r["m"] for r in setops.concat_in_order({"n": many.limit(1), "m": many.limit(1)}, "m").orderBy("m_ord").collect()] == ["n", "m"]
+    assert files.overrides(["a.b=1", "a.c=[2]", "d=x"]) == {"a": {"b": 1, "c": [2]}, "d": "x"}
+    assert files.read_optional(spark, str(tmp_path / "none.jsonl"), "a int").collect() == []
+
+
 def test_stream_appends_each_key_once(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
