@@ -201,9 +201,14 @@ def cache_insert_ignore(spark, sf):
     return files.put_cache(fresh.filter("created_at < 100"), fresh).select("key", "model", "response", "created_at")
 
 
-@register("cache_stats", f"SELECT model, count(DISTINCT key)::BIGINT AS entries, coalesce(sum(CASE WHEN response <> '' THEN 1 END), 0)::BIGINT AS hits FROM {FRESH} GROUP BY 1")
+@register("cache_stats", f"""
+SELECT model, count(*)::BIGINT AS entries, coalesce(sum(h), 0)::BIGINT AS hits FROM (SELECT DISTINCT key, model FROM {FRESH} WHERE response <> '')
+LEFT JOIN (SELECT user_id || ':' || event_type AS key, count(*) AS h FROM events WHERE value > 50 GROUP BY 1) USING (key) GROUP BY 1
+""")
 def cache_stats(spark, sf):
-    return _fresh(spark, sf).groupBy("model").agg(F.countDistinct("key").alias("entries"), F.coalesce(F.sum(F.when(F.col("response") != "", 1)), F.lit(0)).alias("hits"))
+    fresh = _fresh(spark, sf)
+    log = table(spark, sf, "events").filter("value > 50").select(F.concat_ws(":", "user_id", "event_type").alias("key"))
+    return files.cache_report(files.put_cache(fresh.limit(0), fresh), log)
 
 
 @register("order_by_dimension", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 99 END::INT AS ord FROM orders")

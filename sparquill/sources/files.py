@@ -144,13 +144,23 @@ def write_index(df: DataFrame, path: str) -> None:
 
 
 def put_cache(cache: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Rows to append: keys the cache lacks, first of each, with a response."""
+    """Rows to append: keys the cache lacks, first of each, with a response. Where fresh has columns
+    temperature and search, only what was asked at a temperature of 0 or by search is kept."""
     from ..operators.setops import first_wins
 
     rows = fresh.filter("coalesce(response, '') <> ''")
+    if {"temperature", "search"} <= set(fresh.columns):
+        rows = rows.filter("coalesce(temperature, 0) <= 0 or coalesce(search, false)")
     return first_wins(rows, ["key"], ["created_at"]).join(cache.select("key"), "key", "left_anti")
 
 
+def cache_report(cache: DataFrame, log: DataFrame) -> DataFrame:
+    """Entries and hits by model; ``log`` has the key of every hit."""
+    hits = log.groupBy("key").agg(F.count("*").alias("__hits"))
+    rows = cache.join(hits, "key", "left").groupBy("model").agg(F.count("*").alias("entries"), F.coalesce(F.sum("__hits"), F.lit(0)).alias("hits"))
+    return rows.orderBy(F.desc("entries"), "model")
+
+
 def overrides(items: list[str]) -> dict:
     """Nested settings of a dot list, ``a.b=value``, values as JSON where they are."""
     import json

@@ -329,6 +329,8 @@ def test_order_gates_and_overrides(spark, tmp_path):
     got = setops.distractors(many, "g", "id", 3).collect()
     assert len(got) == len(set(map(tuple, got))) == 15_000 and all(t != o for t, o in got)
     assert [r["m"] for r in setops.concat_in_order({"n": many.limit(1), "m": many.limit(1)}, "m").orderBy("m_ord").collect()] == ["n", "m"]
+    asked = spark.createDataFrame([("k", "r", 0.7, False, 1), ("k", "s", 0.0, False, 2), ("l", "t", 1.0, True, 3), ("m", "", 0.0, True, 4)], "key string, response string, temperature double, search boolean, created_at int")
+    assert sorted(r["response"] for r in files.put_cache(asked.limit(0), asked).collect()) == ["s", "t"]
     assert files.overrides(["a.b=1", "a.c=[2]", "d=x"]) == {"a": {"b": 1, "c": [2]}, "d": "x"}
     assert files.read_optional(spark, str(tmp_path / "none.jsonl"), "a int").collect() == []
 
