@@ -1,17 +1,20 @@
 """Writing pages as WARC archives and reading them back (operator 5).
 
-Pages are range-sorted by id into shards. The shards' bounds come from a histogram of payload
-bytes over the id range, an exact aggregate, so that they, and with them every file, depend on
-the pages alone. A shard's task streams its records, each a gzip member of its own, and starts
-another file when the compressed size passes a limit. Headers and digests are made anew from the
-payload: record ids are derived from page id and digest, the date is a parameter. Files are
-written under temporary names and renamed once whole; a task that runs again writes the same
-bytes to the same names. Last, the manifest of all files (name, bytes, records, SHA-256) is
-written under a temporary name and renamed; an archive without it isn't complete.
+Pages are range-sorted by id into shards. The shards' bounds come from histograms of payload bytes
+over the id range, exact aggregates, so that they, and with them every file, depend on the pages
+alone. A bin that holds more than a quarter of a shard is split again, until none does or it holds a
+single id, whose rows are then dealt out by digest; so neither outlying ids nor a hot one leave much
+to one task. Each shard is one task of its own number. It streams its records, each a gzip member
+of its own, and starts another file when the compressed size passes a limit. Headers and digests
+are made anew from the payload: record ids are derived from page id and digest, the date is a
+parameter. Files are written under temporary names and renamed once whole; a task that runs again
+writes the same bytes to the same names. Last, the manifest of all files (name, bytes, records,
+SHA-256) is written under a temporary name and renamed; an archive without it isn't complete.
 
 Of records with equal payloads of at least ``least`` bytes, the one of the largest page id is the
 response and the others revisit it; groups are found on digests, aggregated before the shuffle,
-and the payload is shuffled once.
+and the payload is shuffled once. Ids, digests and sizes are written to the shared folder first, so
+that the payload is read twice in all.
 
 Cases: a null html is the empty payload; a null page id counts as smaller than any, and with no
 other in its group each such row is a response; rows that share the largest id are all responses;
@@ -25,15 +28,22 @@ import base64
 import hashlib
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir, table
+from .common import Scratch, checkpoint, shared_dir, small_batches, table
 
-FILE_BYTES = 64 << 20
-SHARD_BYTES = 64 << 20
+#: Compressed size from which a file is closed, and plain size of a shard: several files.
+FILE_BYTES = 16 << 20
+SHARD_BYTES = 256 << 20
+#: Shards at most; beyond that they grow, so that their table stays small.
+MOST_SHARDS = 50_000
+#: Parts of the id range.
 BINS = 4096
+#: Bits by which a bin that holds too much is split.
+SPLIT = 6
 BROADCAST_ROWS = 200_000
 SALT = 16
 DATE = "2024-01-01T00:00:00Z"
@@ -93,37 +103,79 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _roles(pages: DataFrame, least: int) -> DataFrame:
-    """(digest, largest): groups of two and more equal payloads, and their largest page id."""
+    """(sha, size, largest): groups of two and more equal payloads, and their largest page id."""
     groups = pages.filter(F.col("size") >= least).groupBy("sha", "size").agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
-    return checkpoint(groups.filter("n > 1 and largest is not null").select("sha", "size", "largest"))
+    return groups.filter("n > 1 and largest is not null").select("sha", "size", "largest")
+
+
+def shard_bounds(pages: DataFrame, shard_bytes: int) -> tuple[int, list[tuple[int, int, int]]]:
+    """Ways of null ids, which come first, and ranges of ids in order as (first id, first shard, ways).
+    Rows of a range of several ways are dealt out over as many shards, each other range is of one."""
+    weight = F.sum(F.col("size") + 512)
+    total, low, high = pages.agg(weight, F.min("page_id"), F.max("page_id")).first()
+    shard_bytes = max(shard_bytes, (total or 0) // MOST_SHARDS)
+    nulls = pages.filter("page_id is null").agg(weight).first()[0] or 0
+    sizes: list[tuple[int, int, bool]] = []  # first id, bytes, whether a single id
+    if low is not None:
+        shift = next(k for k in range(64) if (high >> k) - (low >> k) < BINS)
+        rows = pages.filter("page_id is not null")
+        while True:
+            bin_of = F.shiftright("page_id", shift)
+            found = rows.groupBy(bin_of.alias("bin")).agg(weight.alias("n")).collect()  # BINS, then SPLIT for each quarter of a shard
+            heavy = [r["bin"] for r in found if shift and r["n"] > shard_bytes // 4]
+            sizes += [(r["bin"] << shift, r["n"], not shift) for r in found if r["bin"] not in set(heavy)]
+            if not heavy:
+                break
+            wanted = pages.sparkSession.createDataFrame([(x,) for x in heavy], "__bin long")
+            rows = rows.join(F.broadcast(wanted), bin_of == F.col("__bin"), "left_semi")
+            shift = max(0, shift - SPLIT)
+    ways = max(1, -(-nulls // shard_bytes))
+    out, shard, held = [], ways if nulls else 0, 0
+    for first, n, single in sorted(sizes):
+        if held and held + n > shard_bytes:
+            shard, held = shard + 1, 0
+        k = -(-n // shard_bytes) if single else 1
+        if k > 1 or not out or out[-1][1] != shard or out[-1][2] > 1:
+            out.append((first, shard, k))
+        held += n
+        if k > 1:
+            shard, held = shard + k, 0
+    return ways, out
+
+
+def _shard_of(ways: int, bounds: list[tuple[int, int, int]]):
+    """Column: the shard of a page, from page_id and a hash of its digest and url."""
+    firsts, shards, many = (np.array([b[k] for b in bounds] or [0], np.int64) for k in range(3))
+
+    @F.arrow_udf("int")
+    def shard(ids: pa.Array, mixed: pa.Array) -> pa.Array:
+        empty, h = np.asarray(ids.is_null()), mixed.to_numpy(zero_copy_only=False)
+        at = np.maximum(np.searchsorted(firsts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right") - 1, 0)
+        return pa.array(np.where(empty, h % ways, shards[at] + h % np.maximum(many[at], 1)).astype(np.int32))
+
+    return shard(F.col("page_id"), F.xxhash64("sha", "url"))
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) as an archive in ``folder``; returns the manifest."""
+    spark = pages.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "warc-digests")
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    roles = _roles(rows.select("page_id", "sha", "size"), least)
+    narrow = scratch.keep(rows.select("page_id", "sha", "size"))
+    roles = scratch.keep(_roles(narrow, least))
     if roles.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         known = rows.join(F.broadcast(roles), ["sha", "size"], "left")
     else:  # a hot payload is spread over SALT tasks
         spread = roles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         known = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(spread, ["sha", "size", "salt"], "left")
     known = known.withColumn("refers", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")))
-    # shards from the bytes of BINS equal ranges of ids; at most BINS rows on the driver
-    span = rows.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    low, width = span["low"] or 0, max(1, -(-((span["high"] or 0) - (span["low"] or 0) + 1) // BINS))
-    bin_of = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int")
-    weight = rows.groupBy(bin_of.alias("bin")).agg(F.sum(F.col("size") + 512).alias("n")).collect()
-    shards, held = {}, 0
-    for b, n in sorted((r["bin"], r["n"]) for r in weight):
-        shards[b] = held // shard_bytes
-        held += n
-    count = len(set(shards.values())) or 1
-    pairs = ",".join(str(shards.get(b, 0)) for b in range(max(shards, default=0) + 1))
-    shard = F.get(F.split(F.lit(pairs), ",").cast("array<int>"), bin_of)
-    parts = max(count, rows.sparkSession.sparkContext.defaultParallelism)
-    sorted_rows = known.select(shard.alias("shard"), "page_id", "url", "sha", "payload", "refers").repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "url", "sha")
+    ways, bounds = shard_bounds(narrow, shard_bytes)
+    count = max([ways, *(first + k for _, first, k in bounds)])
+    shard = _shard_of(ways, bounds)
+    sorted_rows = known.select(shard.alias("shard"), "page_id", "url", "sha", "payload", "refers").repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "page_id", "url", "sha")
 
     def run(batches):
         import gzip
@@ -174,6 +226,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, file_bytes: int = FILE_
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.move(f"{root}/_temporary/manifest", f"{root}/manifest")
     fs.delete_dir(f"{root}/_temporary")
+    scratch.close()
     return manifest
 
 
