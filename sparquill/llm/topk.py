@@ -32,6 +32,8 @@ QUERY_ROWS = 1024
 SHARD_ROWS = 4096
 BLOCKS = 16
 FAN = 8
+#: Partitions at most; a task then takes several groups, one after another.
+MOST_TASKS = 100_000
 LARGEST = float(1 << 28)
 
 
@@ -137,7 +139,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id
         yield from flush()
 
     by_task = ["group", "queries", "dim"]
-    met = shards.unionByName(tiles).repartition(n_shards * n_queries, *by_task).sortWithinPartitions(*by_task, "side")
+    met = shards.unionByName(tiles).repartition(min(n_shards * n_queries, MOST_TASKS), *by_task).sortWithinPartitions(*by_task, "side")
     lists = met.mapInArrow(run, "group int, query_id long, vec_id long, score long")
     step = n_shards
     while True:
