@@ -5,9 +5,9 @@ in [0, 1] whose weights have at least ENTROPY of the greatest possible entropy,
 where that would repeat some source more than REPEATS times. Both bounds are found by bisection
 to 24 bits, eight halvings in one distributed aggregate. The budget of tokens is then dealt out
 by weight: each source is read in whole passes, and the rest from the start of one more pass,
-whose order is a permutation by hash. The permutation's blocks (the hash's first three digits)
-are totalled first, so that only the block in which the budget ends is ranked row by row; a hot
-source is never gathered in one task.
+whose order is a permutation by hash. The permutation's blocks (by the hash's first three digits,
+then six) are totalled first, so that only the block in which the budget ends, a part in 16 million
+of its source, is ranked row by row; a hot source is never gathered in one task.
 
 Tokens are the words of the whole text. Result: the number of copies of every document.
 
@@ -20,6 +20,7 @@ document has one copy; other columns are kept by mix, whatever their names.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ ENTROPY = 0.95
 REPEATS = 4.0
 BUDGET = 1.0
 SEED = 7
+#: Digits of the key that name the blocks to look into, and those into which these are parted.
+LENGTHS = ((0, 3), (3, 6))
 #: Rows of the table of sources that are broadcast at most; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,20 +92,22 @@ def plan(sized: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, b
     scale = shares.agg(F.sum(F.pow("p", F.lit(alpha))).alias("s")).first()["s"]
     weight = F.pow("p", F.lit(alpha)) / F.lit(scale)
     goal = F.round(weight * F.lit(budget * total)).cast("long")
-    goals = shares.select("source", weight.alias("weight"), F.expr("1").alias("__1"), "n", goal.alias("goal"))
+    goals = shares.select("source", weight.alias("weight"), "n", goal.alias("goal"))
     goals = goals.select("source", "weight", F.floor(F.col("goal") / F.col("n")).alias("passes"), (F.col("goal") - F.floor(F.col("goal") / F.col("n")) * F.col("n")).alias("rest"))
     goals = checkpoint(goals)
-    keyed = sized.join(_small(goals), "source").withColumn("key", _key(F.col("doc_id"), F.col("passes"))).withColumn("block", F.substring("key", 1, 3))
-    order = Window.partitionBy("source").orderBy("block")
-    blocks = keyed.groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("n"), F.max("key").alias("last"))
-    blocks = checkpoint(blocks.withColumn("end", F.sum("n").over(order)))
-    inside = blocks.filter("end <= rest").groupBy("source").agg(F.max("last").alias("cut"))
-    # the one block of each source in which the budget ends, by rows
-    edge = blocks.filter("end > rest and end - n <= rest").select("source", "block", (F.col("end") - F.col("n")).alias("before"))
-    within = keyed.join(_small(edge), ["source", "block"])
+    keyed = sized.join(_small(goals), "source").withColumn("key", _key(F.col("doc_id"), F.col("passes")))
+    # the block of each source in which the budget ends, by ever longer prefixes of the key, then by rows
+    edge, cuts = goals.select("source", F.lit("").alias("block"), F.lit(0).cast("long").alias("before")), []
+    for length in LENGTHS:
+        within = keyed.withColumn("block", F.substring("key", 1, length[0])).join(_small(edge), ["source", "block"])
+        blocks = within.groupBy("source", F.substring("key", 1, length[1]).alias("block"), "rest", "before").agg(F.sum("n_tokens").alias("n"), F.max("key").alias("last"))
+        blocks = checkpoint(blocks.withColumn("end", F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("block"))))
+        cuts.append(blocks.filter("end <= rest").groupBy("source").agg(F.max("last").alias("cut")))
+        edge = blocks.filter("end > rest and end - n <= rest").select("source", "block", (F.col("end") - F.col("n")).alias("before"))
+    within = keyed.withColumn("block", F.substring("key", 1, LENGTHS[-1][1])).join(_small(edge), ["source", "block"])
     upto = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("key"))
-    part = within.withColumn("upto", upto).filter("upto <= rest").groupBy("source").agg(F.max("key").alias("cut"))
-    cuts = inside.unionByName(part).groupBy("source").agg(F.max("cut").alias("cut"))
+    cuts.append(within.withColumn("upto", upto).filter("upto <= rest").groupBy("source").agg(F.max("key").alias("cut")))
+    cuts = reduce(DataFrame.unionByName, cuts).groupBy("source").agg(F.max("cut").alias("cut"))
     known = goals.join(cuts, "source", "left").select("source", "weight", "passes", F.coalesce("cut", F.lit("")).alias("cut"))
     empty = totals.filter("n = 0").select("source", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("passes"), F.lit("").alias("cut"))
     return checkpoint(known.unionByName(empty))
