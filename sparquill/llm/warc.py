@@ -37,7 +37,7 @@ from .common import Scratch, checkpoint, shared_dir, small_batches, table
 
 #: Compressed size from which a file is closed, and plain size of a shard: several files.
 FILE_BYTES = 16 << 20
-SHARD_BYTES = 256 << 20
+SHARD_BYTES = 128 << 20
 #: Shards at most; beyond that they grow, so that their table stays small.
 MOST_SHARDS = 50_000
 #: Parts of the id range.
