@@ -78,6 +78,18 @@ def test_bpe_query(spark):
     assert kept["decoded"] == b"a b" and len(kept["ids"]) == 2 and kept["__w"] == 1
 
 
+def test_bpe_encodes_once(spark):
+    plan = bpe.round_trip(docs(spark, "a b"))._jdf.queryExecution().executedPlan().toString()
+    calls = re.search(r"ArrowEvalPython \[(.*?)\], \[", plan)[1]
+    assert calls.count("text#") == 1, calls
+    texts, asked = ["a b", "a b", None, "", "a b", "c", "c"], []
+    got = list(bpe.copies_once(bpe.pa.array(texts), lambda x: asked.append(x) or x.upper()))
+    assert got == [(x or "").upper() for x in texts] and asked[1:] == ["a b", "", "a b", "c"]
+    frame = docs(spark, *texts, LONG, LONG)
+    want = bpe.decode(bpe.encode(frame)).orderBy("doc_id").collect()
+    assert bpe.recode(frame).orderBy("doc_id").collect() == want and len(want) == 9
+
+
 # 2
 def brute_quality(text):
     w = WORD.findall(text)
