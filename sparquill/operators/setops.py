@@ -158,15 +158,20 @@ def stride(df: DataFrame, order: list[str], index: int, n: int) -> DataFrame:
 
 def distractors(df: DataFrame, group: str, key: str, n: int, seed: int = 7, block: int = 1000) -> DataFrame:
     """(task, other): for each row n others of its group, those next in a seeded order, going round. Large
-    groups are parted into blocks first, so no pairs but the chosen ones arise and no task holds a group."""
-    sizes = df.groupBy(group).agg(F.greatest(F.lit(1), F.floor(F.count("*") / block)).alias("__blocks"))
+    groups are parted into ranges of that order, whose counts give each range its start, so no pairs but the
+    chosen ones arise and no task holds a group."""
     mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    rows = df.select(group, key).join(sizes, group).select(group, key, mixed.alias("__h"), F.pmod(F.crc32(mixed.cast("binary")), F.col("__blocks")).alias("__b"))
-    counts = rows.groupBy(group, "__b").agg(F.count("*").alias("__c"))
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(group, "__b").orderBy("__h", key)) - 1).join(counts, [group, "__b"])
+    sizes = df.groupBy(group).agg(F.count("*").alias("__c"), F.greatest(F.lit(1), F.floor(F.count("*") / block)).alias("__blocks"))
+    place = F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint")
+    rows = df.select(group, key, mixed.alias("__h")).join(sizes, group)
+    rows = rows.withColumn("__b", F.coalesce(F.shiftright(place * F.col("__blocks"), 32), F.col("__blocks")))  # a null key comes last
+    before = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(group, "__b").agg(F.count("*").alias("__n")).select(group, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(group, "__b").orderBy("__h", key)) - 1)
+    ranked = ranked.join(starts, [group, "__b"]).select(group, key, "__c", (F.col("__start") + F.col("__r")).alias("__r"))
     steps = F.sequence(F.lit(1), F.least(F.lit(n).cast("bigint"), F.col("__c") - 1))
-    asked = ranked.filter("__c > 1").select(group, "__b", F.col(key).alias("task"), F.explode(F.transform(steps, lambda i: (F.col("__r") + i) % F.col("__c"))).alias("__r"))
-    return asked.join(ranked.select(group, "__b", F.col("__r").cast("bigint").alias("__r"), F.col(key).alias("other")), [group, "__b", "__r"]).select("task", "other")
+    asked = ranked.filter("__c > 1").select(group, F.col(key).alias("task"), F.explode(F.transform(steps, lambda i: (F.col("__r") + i) % F.col("__c"))).alias("__r"))
+    return asked.join(ranked.select(group, "__r", F.col(key).alias("other")), [group, "__r"]).select("task", "other")
 
 
 def keep_chance(key: Column, share: float, seed: int = 7) -> Column:

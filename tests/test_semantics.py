@@ -1,5 +1,6 @@
 """Micro-fixtures for the operators' traps."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -380,3 +381,13 @@ def test_relocations(spark):
     lost = spark.createDataFrame([(1, "a.f", "function", "d" * 50, p("x")), (2, "a.g", "function", "", p("x", "y")), (3, "a.h", "function", "e" * 50, p("x"))], kind)
     found = spark.createDataFrame([(1, "b.f", "function", "d" * 50, p("x")), (2, "b.g", "function", "new", p("x", "y")), (3, "b.h", "function", "e" * 50, p("z")), (4, "b.k", "function", "", p())], kind)
     assert {r["name"]: (r["old_name"], r["how"]) for r in diff.relocations(lost, found).collect()} == {"b.f": ("a.f", "exact"), "b.g": ("a.g", "shape"), "b.h": ("a.h", "loose"), "b.k": (None, None)}
+
+
+def test_distractors_follow_in_one_ring_of_the_whole_group(spark):
+    groups = {"large": list(range(4999)) + [None], "one": [7], "two": [8, 9], "four": [1, 2, 3, 4]}
+    df = spark.createDataFrame([(g, k) for g, keys in groups.items() for k in keys], "g string, k long").repartition(3)
+    want = []
+    for keys in groups.values():
+        ring = sorted(keys, key=lambda k: (k is None, hashlib.md5(f"7:{k}".encode()).hexdigest()))
+        want += [(k, ring[(i + step) % len(ring)]) for i, k in enumerate(ring) for step in range(1, min(3, len(ring) - 1) + 1)]
+    assert sorted(map(repr, map(tuple, setops.distractors(df, "g", "k", 3).collect()))) == sorted(map(repr, want))
