@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +43,17 @@ def is_deprecated(doc: Column) -> Column:
 
 
 def is_thin(doc: Column, least: int = 40) -> Column:
-    """Short docstring, or one whose first paragraph opens with a stock phrase."""
-    d = strip(F.coalesce(doc, F.lit("")))
-    first = F.lower(strip(F.regexp_replace(F.substring_index(d, "\n\n", 1), r"(?U)\s+", " ")))
-    opens = F.exists(F.lit(THIN_OPENINGS), lambda p: F.startswith(first, p))
-    return (F.length(d) < least) | opens
+    """Short docstring, or one whose first paragraph opens with a stock phrase. Both show in a text's head, if
+    that is long enough when stripped; only else is the whole text looked at."""
+    doc = F.coalesce(doc, F.lit(""))
+    longest = max(map(len, THIN_OPENINGS))
+    opening = "^(?:" + "|".join(map(re.escape, THIN_OPENINGS)) + ")"
+    first = lambda d: F.lower(strip(F.regexp_replace(F.substring_index(d, "\n\n", 1), r"(?U)\s+", " ")))
+    opens = lambda d: F.regexp_like(first(d), F.lit(opening))
+    head = strip(F.left(doc, F.lit(4 * max(least, longest))))
+    short = (F.length(head) < least) & (F.length(strip(doc)) < least)
+    told = F.contains(head, F.lit("\n\n")) | (F.length(first(head)) >= longest)
+    return short | F.when(told, opens(head)).otherwise(opens(strip(doc)))
 
 
 def has_no_source(path: Column) -> Column:

@@ -10,8 +10,8 @@ NO_STRINGS = "array<string>"
 
 
 def strip(text: Column) -> Column:
-    """Without Unicode white space at either end (trim() strips spaces only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without Unicode white space at either end (trim() strips spaces only). A run within is looked at once, from its start."""
+    return F.regexp_replace(text, r"(?U)^\s++|\s(?<!\s\s)\s*+\z", "")
 
 
 def words(text: Column) -> Column:

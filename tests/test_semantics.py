@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 
 import numpy as np
 import pytest
@@ -391,3 +392,18 @@ def test_distractors_follow_in_one_ring_of_the_whole_group(spark):
         ring = sorted(keys, key=lambda k: (k is None, hashlib.md5(f"7:{k}".encode()).hexdigest()))
         want += [(k, ring[(i + step) % len(ring)]) for i, k in enumerate(ring) for step in range(1, min(3, len(ring) - 1) + 1)]
     assert sorted(map(repr, map(tuple, setops.distractors(df, "g", "k", 3).collect()))) == sorted(map(repr, want))
+
+
+def test_thin_docs_are_told_from_their_heads_and_in_linear_time(spark):
+    gap, long = " \n " * 200, "long enough to be no short text, whatever its opening may be"
+    texts = [f"{a}{b}{c}" for a in ("", gap, "\u2003\t") for b in ("TODO", "abstract base class for", f"Abstract{gap}base\tclass{gap}for", "Abstract\n\nbase class for", "abstract base class", "x", "") for c in ("", gap, f" {long}", f"{gap}{long}", f"\n\n{long}", gap + "y" * 39)]
+    texts += ["a" + " " * 37 + "b", "a" + " " * 38 + "b", "a" + " " * 300 + "b"]
+
+    def thin(text):
+        d = text.strip()
+        return len(d) < 40 or " ".join(d.split("\n\n")[0].split()).lower().startswith(tuple(P.THIN_OPENINGS))
+
+    assert column(spark, P.is_thin(F.col("s")), *texts) == list(map(thin, texts))
+    began = time.monotonic()
+    assert column(spark, P.is_thin(F.col("s")), *["x" + " " * 100_000 + long] * 2) == [False, False]
+    assert time.monotonic() - began < 30
