@@ -22,35 +22,45 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", chunk: str = "chun
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
-#: Queries and corpus rows of a group that meet in one task, at most (about).
-TASK_QUERIES, TASK_ROWS = 512, 200_000
+#: Queries and corpus rows of a group that meet in one task, at most (about); pairs from which on work is dealt out; pairs scored at once.
+TASK_QUERIES, TASK_ROWS, TASK_PAIRS, BLOCK_PAIRS = 16_384, 200_000, 1 << 24, 1 << 19
+#: Rows that are scored at once.
+BLOCK_ROWS = 1024
 
 
 def _tiles(queries: DataFrame, corpus: DataFrame, on: list[str], fold, kind: str) -> DataFrame:
-    """Rows that ``fold`` makes of matrices: of each task's queries and a batch of its corpus rows. Both
-    sides have the group's columns ``on``, id (long), label (string) and emb; queries also at_score and
-    at_id. Queries and rows of a group are dealt out by their counts, so tasks are of bounded size."""
-
-    def parts(df, most, out):
-        sizes = df.groupBy(*on).agg(F.ceil(F.count("*") / most).cast("int").alias(out))
-        return F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
-
-    q, c = parts(queries, TASK_QUERIES, "__nq"), parts(corpus, TASK_ROWS, "__nc")
+    """Rows that ``fold`` makes of each task's queries and corpus rows. Both sides have the group's columns
+    ``on``, id (long) and emb; queries also at_score and at_id. ``fold(q)`` of a block of queries (id, at_score,
+    at_id) gives two functions: one takes the ids of a block of corpus rows and the block's inner products, one
+    returns the rows at the end. Queries and rows of a group are dealt out by their counts: rows are copied
+    once for each TASK_QUERIES queries, queries once for each part of the rows; the parts are as many as hold
+    TASK_ROWS rows each, or as there are cores to keep busy."""
+    busy = 3 * corpus.sparkSession.sparkContext.defaultParallelism
+    sizes = queries.groupBy(*on).agg(F.count("*").alias("__q")).join(corpus.groupBy(*on).agg(F.count("*").alias("__c")), on)
+    nq = F.ceil(F.col("__q") / TASK_QUERIES)
+    tasks = F.least(F.ceil(F.col("__q") * F.col("__c") / TASK_PAIRS), F.lit(busy))
+    sizes = sizes.select(*on, nq.cast("int").alias("__nq"), F.greatest(F.ceil(F.col("__c") / TASK_ROWS), F.ceil(tasks / nq)).cast("int").alias("__nc"))
+    sizes = F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     key = F.xxhash64(*[F.col(x).cast("string") for x in on])
-    vec = F.col("emb").cast("array<double>")
-    left = queries.join(q, on).join(c, on).select(key.alias("key"), own("__nq").alias("p"), every("__nc").alias("r"), F.lit(0).alias("side"), "id", "label", vec.alias("v"), "at_score", "at_id")
-    right = corpus.join(c, on).join(q, on).select(key.alias("key"), every("__nq").alias("p"), own("__nc").alias("r"), F.lit(1).alias("side"), "id", "label", vec.alias("v"), F.lit(None).cast("double").alias("at_score"), F.lit(None).cast("long").alias("at_id"))
+    whole = next(f.dataType.elementType.typeName() for f in corpus.schema if f.name == "emb") == "float" == next(f.dataType.elementType.typeName() for f in queries.schema if f.name == "emb")
+    vec = F.col("emb") if whole else F.col("emb").cast("array<double>")  # floats are widened in the task
+    left = queries.join(sizes, on).select(key.alias("key"), own("__nq").alias("p"), every("__nc").alias("r"), F.lit(0).alias("side"), "id", vec.alias("v"), "at_score", "at_id")
+    right = corpus.join(sizes, on).select(key.alias("key"), every("__nq").alias("p"), own("__nc").alias("r"), F.lit(1).alias("side"), "id", vec.alias("v"), F.lit(None).cast("double").alias("at_score"), F.lit(None).cast("long").alias("at_id"))
 
     def run(batches):
         def side(batch):
-            dim = len(batch.column(6)[0]) if batch.num_rows else 0
-            v = batch.column(6).flatten().to_numpy().reshape(-1, dim)
-            texts = np.array(batch.column(5).to_pylist(), object)
-            return [batch.column(4).to_numpy(), texts, v, batch.column(7).to_numpy(zero_copy_only=False), batch.column(8).to_numpy(zero_copy_only=False)]
+            dim = len(batch.column(5)[0])
+            v = batch.column(5).flatten().to_numpy().reshape(-1, dim)
+            return [batch.column(4).to_numpy(), v, batch.column(6).to_numpy(zero_copy_only=False), batch.column(7).to_numpy(zero_copy_only=False)]
 
-        key, held = None, []
+        def opened(held):
+            ids, v, score, at = [np.concatenate(x) for x in zip(*held)]
+            step = max(1, BLOCK_PAIRS // BLOCK_ROWS)
+            return [(v[a : a + step].astype(np.float64), *fold((ids[a : a + step], score[a : a + step], at[a : a + step]))) for a in range(0, len(ids), step)]
+
+        key, held, blocks = None, [], []
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
             edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
@@ -59,72 +69,103 @@ def _tiles(queries: DataFrame, corpus: DataFrame, on: list[str], fold, kind: str
                     continue
                 here = tuple(keys[a][:3])
                 if here != key:
-                    key, held = here, []
-                rows = side(batch.slice(a, b - a))
+                    for _, _, end in blocks:
+                        yield from end()
+                    key, held, blocks = here, [], []
                 if keys[a][3] == 0:
-                    held = rows if not held else [np.concatenate(x) for x in zip(held, rows)]
-                elif held:
-                    yield from fold(held, rows)
+                    held.append([np.array(x) for x in side(batch.slice(a, b - a))])
+                    continue
+                if held:
+                    blocks, held = opened(held), []
+                if blocks:
+                    ids, v, _, _ = side(batch.slice(a, b - a))
+                    for at in range(0, len(ids), BLOCK_ROWS):
+                        rows = v[at : at + BLOCK_ROWS].astype(np.float64).T
+                        for vectors, take, _ in blocks:
+                            take(ids[at : at + BLOCK_ROWS], vectors @ rows)
+        for _, _, end in blocks:
+            yield from end()
 
     met = left.unionByName(right).repartition("key", "p", "r").sortWithinPartitions("key", "p", "r", "side")
     return met.mapInArrow(run, kind)
 
 
-def _shape(df: DataFrame, on: list[str], key: str, label: str | None) -> DataFrame:
-    text = F.col(label).cast("string") if label else F.lit(None).cast("string")
-    return df.select(*on, F.col(key).cast("long").alias("id"), text.alias("label"), "emb")
+def _shape(df: DataFrame, on: list[str], key: str) -> DataFrame:
+    return df.select(*on, F.col(key).cast("long").alias("id"), "emb")
+
+
+def _same(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal ids in two arrays, pair by pair."""
+    order = np.argsort(c, kind="stable")
+    low, high = np.searchsorted(c, q, "left", order), np.searchsorted(c, q, "right", order)
+    i = np.repeat(np.arange(len(q)), high - low)
+    return i, order[np.arange(len(i)) - np.repeat(np.cumsum(high - low) - high, high - low)]
 
 
 def search(queries: DataFrame, corpus: DataFrame, on: list[str], k: int, digits: int = 9, query: str = "query_id", chunk: str = "chunk_id", apart: bool = False) -> DataFrame:
     """Best k corpus rows of each query within its group, by inner product (rounded to ``digits``) and then
     id: query, chunk, score, rank. apart: a query's own id is no candidate."""
 
-    def fold(q, c):
-        scores = np.round(q[2] @ c[2].T, digits)
-        if apart:
-            scores[q[0][:, None] == c[0][None, :]] = -np.inf
-        edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
-        i, j = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
-        at = np.lexsort((c[0][j], -scores[i, j], i))
-        i, j = i[at], j[at]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)  # ties beyond the kth go
-        i, j = i[rank < k], j[rank < k]
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(q[0][i]), pa.array(c[0][j]), pa.array(scores[i, j])], names=[query, chunk, "score"])
+    def fold(q):
+        best, who = np.full((len(q[0]), k), -np.inf), np.zeros((len(q[0]), k), np.int64)  # so far, best first
+
+        def take(ids, scores):
+            np.round(scores, digits, out=scores)
+            if apart:
+                scores[_same(q[0], ids)] = -np.inf
+            live = np.flatnonzero(scores.max(axis=1) >= best[:, -1])
+            if not len(live):
+                return
+            some, edge = scores[live], best[live, -1]
+            if some.shape[1] > k:
+                edge = np.maximum(edge, np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k])
+            i, j = np.nonzero((some >= edge[:, None]) & (some > -np.inf))
+            old = np.nonzero(best[live] > -np.inf)
+            i, s, c = np.concatenate([i, old[0]]), np.concatenate([some[i, j], best[live][old]]), np.concatenate([ids[j], who[live][old]])
+            at = np.lexsort((c, -s, i))
+            i, s, c = i[at], s[at], c[at]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)  # ties beyond the kth go
+            i, s, c, rank = (x[rank < k] for x in (i, s, c, rank))
+            best[live[i], rank], who[live[i], rank] = s, c
+
+        def end():
+            i, j = np.nonzero(best > -np.inf)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(q[0][i]), pa.array(who[i, j]), pa.array(best[i, j])], names=[query, chunk, "score"])
+
+        return take, end
 
     none = {"at_score": F.lit(None).cast("double"), "at_id": F.lit(None).cast("long")}
-    found = _tiles(_shape(queries, on, query, None).withColumns(none), _shape(corpus, on, chunk, None), on, fold, f"{query} long, {chunk} long, score double")
+    found = _tiles(_shape(queries, on, query).withColumns(none), _shape(corpus, on, chunk), on, fold, f"{query} long, {chunk} long, score double")
     return top_k(found, k, query, chunk)
 
 
 def first_hit(queries: DataFrame, corpus: DataFrame, on: list[str], k: int = 5, digits: int = 9, query: str = "query_id", chunk: str = "chunk_id", label: str = "label", apart: bool = False) -> DataFrame:
     """Rank of the first row with a query's label in its group's whole ranking (null if there is none), and
-    whether it is within k. No ranking is sorted: the rank is one more than the number of rows that
-    precede the best match."""
-
-    def best(q, c):
-        scores = np.round(q[2] @ c[2].T, digits)
-        ok = q[1][:, None] == c[1][None, :]
-        if apart:
-            ok &= q[0][:, None] != c[0][None, :]
-        i = np.flatnonzero(ok.any(axis=1))
-        top = np.where(ok, scores, -np.inf)[i].max(axis=1) if len(i) else np.zeros(0)
-        ids = np.array([c[0][ok[x] & (scores[x] == t)].min() for x, t in zip(i, top)], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(q[0][i]), pa.array(top), pa.array(ids)], names=[query, "s", "i"])
-
-    def ahead(q, c):
-        scores = np.round(q[2] @ c[2].T, digits)
-        s, at = q[3][:, None], q[4][:, None]
-        before = (scores > s) | ((scores == s) & (c[0][None, :] < at))
-        if apart:
-            before &= q[0][:, None] != c[0][None, :]
-        yield pa.RecordBatch.from_arrays([pa.array(q[0]), pa.array(before.sum(axis=1).astype(np.int64))], names=[query, "n"])
-
-    none = {"at_score": F.lit(None).cast("double"), "at_id": F.lit(None).cast("long")}
-    left, right = _shape(queries, on, query, label), _shape(corpus, on, chunk, label)
-    top = _tiles(left.filter("label is not null").withColumns(none), right, on, best, f"{query} long, s double, i long")
-    top = top.groupBy(query).agg(F.max(F.struct("s", (-F.col("i")).alias("i"))).alias("x")).select(F.col(query).alias("id"), F.col("x.s").alias("at_score"), (-F.col("x.i")).alias("at_id"))
-    counts = _tiles(left.join(top, "id"), right, on, ahead, f"{query} long, n long").groupBy(query).agg((F.sum("n") + 1).cast("int").alias("target_rank"))
+    whether it is within k. No ranking is sorted: the best match is searched among the label's rows only, and
+    the rank is one more than the number of rows that precede it."""
+
+    def fold(q):
+        ids, score, at = q[0], q[1][:, None], q[2]
+        n = np.zeros(len(ids), np.int64)
+
+        def take(others, scores):
+            np.round(scores, digits, out=scores)
+            if apart:
+                scores[_same(ids, others)] = -np.inf
+            n[:] += np.count_nonzero(scores > score, axis=1)
+            i, j = np.nonzero(scores == score)
+            np.add.at(n, i, others[j] < at[i])
+
+        def end():
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=[query, "n"])
+
+        return take, end
+
+    labelled = lambda df: df.withColumn("__label", F.col(label).cast("string"))
+    top = search(labelled(queries), labelled(corpus), [*on, "__label"], 1, digits, query, chunk, apart)
+    top = top.select(F.col(query).alias("id"), F.col("score").alias("at_score"), F.col(chunk).alias("at_id"))
+    counts = _tiles(_shape(queries, on, query).join(top, "id"), _shape(corpus, on, chunk), on, fold, f"{query} long, n long").groupBy(query).agg((F.sum("n") + 1).cast("int").alias("target_rank"))
     out = queries.select(query).join(counts, query, "left")
     return out.withColumn("hit5", F.coalesce((F.col("target_rank") <= k).cast("int"), F.lit(0)))
 

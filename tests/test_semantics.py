@@ -407,3 +407,21 @@ def test_thin_docs_are_told_from_their_heads_and_in_linear_time(spark):
     began = time.monotonic()
     assert column(spark, P.is_thin(F.col("s")), *["x" + " " * 100_000 + long] * 2) == [False, False]
     assert time.monotonic() - began < 30
+
+
+def test_retrieval_over_blocks_copies_rows_once(spark, monkeypatch):
+    n, rng = 3000, np.random.default_rng(5)
+    vectors, labels = rng.integers(-2, 3, (n, 3)), [None if i % 50 == 0 else "rare" if i == 7 else f"l{i % 40}" for i in range(n)]
+    df = spark.createDataFrame([(i, label, [float(x) for x in v], 0) for i, (label, v) in enumerate(zip(labels, vectors))], "id long, label string, emb array<float>, g int")
+    sides = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "chunk_id"), ["g"]
+    dealt, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda met, *args: dealt.append(met.count()) or plain(met, *args))
+    scores = (vectors @ vectors.T).astype(float)
+    np.fill_diagonal(scores, -np.inf)
+    rankings = np.argsort(-scores, axis=1, kind="stable")[:, :-1]
+    top = retrieval.search(*sides, 5, apart=True)
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in top.collect()) == [(q, r + 1, int(c)) for q in range(n) for r, c in enumerate(rankings[q, :5])]
+    want = {q: next((r + 1 for r, c in enumerate(rankings[q]) if labels[c] == labels[q] is not None), None) for q in range(n)}
+    hits = retrieval.first_hit(*sides, apart=True)
+    assert {r["query_id"]: r["target_rank"] for r in hits.collect()} == want
+    assert dealt[0] == 2 * n and sum(dealt) < 6 * n
